@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from strandforge.llm import seen
+from pyspark.sql import functions as F
+
+from strandforge.llm import distinct, frequent, percentiles, seen
 from strandforge.session import table
 
+KMER = ["k", "data"]
+
+
+def _hexed(df):
+    return df.withColumn("data_hex", F.hex("data")).drop("data")
+
+
 QUERIES = {
     "p1_found": lambda spark, d: seen.seen_before(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_first_sightings": lambda spark, d: seen.first_sightings(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_error_rates": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p4_coverage_distinct": lambda spark, d: distinct.coverage_distinct(table(spark, d, "kmer_coverage")),
+    "p4_stream_distinct": lambda spark, d: distinct.stream_distinct(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p5_percentiles": lambda spark, d: percentiles.percentiles(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
+    "p6_found": lambda spark, d: _hexed(frequent.frequent_exact(table(spark, d, "kmer_stream"), KMER).drop("n_rows")),
+    "p6_frequent": lambda spark, d: _hexed(frequent.frequent(table(spark, d, "kmer_stream"), KMER)),
 }
 
 _SEEN = """
@@ -19,4 +33,7 @@ _SEEN = """
 ORACLE = {
     "p1_found": f"select obs_id from ({_SEEN}) where seen",
     "p1_first_sightings": f"select ref_name, count(*) as first_n from ({_SEEN}) where not seen group by ref_name",
+    "p6_found": """
+        select k, hex(data) as data_hex from kmer_stream where data is not null group by k, data
+        having count(*) * 400 >= (select count(*) from kmer_stream)""",
 }
