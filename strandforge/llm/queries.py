@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandforge.llm import distinct, encode, frequent, neardup, packing, percentiles, repetition, seen
+from strandforge.llm import distinct, encode, frequent, neardup, packing, percentiles, repetition, seen, spans
 from strandforge.session import table
 
 KMER = ["k", "data"]
@@ -18,6 +18,9 @@ QUERIES = {
     "p1_found": lambda spark, d: seen.seen_before(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_first_sightings": lambda spark, d: seen.first_sightings(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_error_rates": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p3_found": lambda spark, d: spans.pairs(table(spark, d, "sequences")),
+    "p3_shared": lambda spark, d: spans.shared(table(spark, d, "sequences")),
+    "p3_repeats": lambda spark, d: spans.repeats(spans.matches(table(spark, d, "sequences"))),
     "p4_coverage_distinct": lambda spark, d: distinct.coverage_distinct(table(spark, d, "kmer_coverage")),
     "p4_stream_distinct": lambda spark, d: distinct.stream_distinct(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p5_percentiles": lambda spark, d: percentiles.percentiles(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
