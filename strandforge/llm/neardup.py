@@ -101,7 +101,8 @@ def _set_sizes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     buf, owner = dna.codes(texts)
     code, ok = dna.packed(buf, K)
     at = np.flatnonzero(ok)
-    keys = np.unique((owner[at].astype(np.int64) << 2 * K) | code[at].astype(np.int64))
+    keys = np.sort((owner[at].astype(np.int64) << 2 * K) | code[at].astype(np.int64))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     return keys, np.bincount(keys >> 2 * K, minlength=len(texts))
 
 
@@ -111,7 +112,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, left in text_chunks(batch, "seq_a", CHUNK // 2):
             right = batch.column("seq_b").slice(a, b - a).to_pylist()
             (ka, na), (kb, nb) = _set_sizes(left), _set_sizes(right)
-            common = np.bincount(np.intersect1d(ka, kb, assume_unique=True) >> 2 * K, minlength=len(left))
+            both = np.sort(np.concatenate([ka, kb]), kind="stable")
+            common = np.bincount(both[1:][both[1:] == both[:-1]] >> 2 * K, minlength=len(left))
             union = na + nb - common
             ok = pa.array((union > 0) & (common * den >= union * num))
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a).filter(ok) for c in ("tbl", "id_a", "id_b")] + [pa.array(common / np.maximum(union, 1)).filter(ok)], names=["tbl", "id_a", "id_b", "similarity"])
