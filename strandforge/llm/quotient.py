@@ -16,6 +16,12 @@ import numpy as np
 LOAD = 0.75
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values."""
+    values = np.sort(values, kind="stable")
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 @dataclass
 class QuotientFilter:
     """``rem``: remainder of each slot; ``occupied``, ``continuation``, ``shifted``: a bool per slot."""
@@ -87,7 +93,7 @@ class QuotientFilter:
         """A filter of both contents; the quotient grows with the number of keys."""
         if self.p != other.p:
             raise ValueError("filters of different fingerprint lengths don't merge")
-        return QuotientFilter.build(np.union1d(self.fingerprints(), other.fingerprints()), self.p)
+        return QuotientFilter.build(distinct(np.concatenate([self.fingerprints(), other.fingerprints()])), self.p)
 
     def to_bytes(self) -> bytes:
         """Header of four 8-byte numbers, three bit maps, and the remainders at ceil(r / 8) bytes a slot."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.quotient import QuotientFilter, expected_wrong
+from strandforge.llm.quotient import QuotientFilter, distinct, expected_wrong
 from strandforge.session import materialised
 
 #: Distinct fingerprints of a shard are held by one task; so many rows are meant for one.
@@ -88,7 +88,7 @@ def _scan_shard(p: int):
             fresh = ~seen.contains(part)
             if batch[a] >= 0:
                 new.append(rows[a:b][fresh])
-            seen = seen.merge(QuotientFilter.build(np.unique(part[fresh]), p))
+            seen = seen.merge(QuotientFilter.build(distinct(part[fresh]), p))
         found = np.concatenate(new) if new else np.zeros(0, np.int64)
         order = np.argsort(fps, kind="stable")
         sorted_fp = fps[order]
