@@ -149,14 +149,13 @@ def kmer_array(seq: Column | str, k: int) -> Column:
     """Upper-cased windows of k letters that hold only A, C, G and T (F3), in order."""
     if not 1 <= k <= 1024:
         raise ValueError("k must lie between 1 and 1024")
-    # runs of valid letters; windows are cut from bytes, where a place is found without counting characters
+    # runs of valid letters as bytes, where a place is found without counting characters
     runs = F.filter(F.split(F.upper(_col(seq)), "[^ACGT]+"), lambda r: F.length(r) >= k)
 
     def windows(run: Column) -> Column:
-        raw = F.to_binary(run, F.lit("utf-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(run) - (k - 1)), lambda i: F.decode(F.substring(raw, i, F.lit(k)), "utf-8"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(run) - (k - 1)), lambda i: F.substring(run, i, F.lit(k)).cast("string"))
 
-    return F.flatten(F.transform(runs, windows))
+    return F.flatten(F.transform(F.transform(runs, lambda r: r.cast("binary")), windows))
 
 
 def unpack_kmer(data: Column | str, k: Column | str) -> Column:
@@ -168,16 +167,9 @@ def unpack_kmer(data: Column | str, k: Column | str) -> Column:
     return F.right(both, _col(k))
 
 
-def pack_kmer(kmer: Column | str, n_bytes: int = 32) -> Column:
-    """A k-mer of A, C, G and T (either case) as right-aligned bytes; null for other letters or too many of them."""
+def pack_kmer(kmer: Column | str, words: int = 4) -> Column:
+    """A k-mer of A, C, G and T (either case) as right-aligned 64-bit words; null for other letters or too many of them."""
     c = F.upper(_col(kmer))
-    padded = F.lpad(c, 4 * n_bytes, "A")
-
-    def digit(i: Column) -> Column:
-        value = lambda at: F.call_function("instr", F.lit("ACGT"), F.substring(padded, at, F.lit(1))) - 1
-        return F.substring(F.lit("0123456789ABCDEF"), value(i * 2 + 1) * 4 + value(i * 2 + 2) + 1, F.lit(1))
-
-    bits = F.transform(F.sequence(F.lit(0), F.lit(2 * n_bytes - 1)), digit)
-    good = c.rlike(f"^[ACGT]{{1,{4 * n_bytes}}}$")
-    return F.when(good, F.unhex(F.array_join(bits, "")))
-
+    digits = F.lpad(F.translate(c, "ACGT", "0123"), 32 * words, "0")
+    parts = [F.lpad(F.conv(F.substring(digits, 1 + 32 * i, 32), 4, 16), 16, "0") for i in range(words)]
+    return F.when(c.rlike(f"^[ACGT]{{1,{32 * words}}}$"), F.unhex(F.concat(*parts)))
