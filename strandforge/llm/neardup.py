@@ -9,8 +9,9 @@ similarity of at least 0.6.
    its smallest value, so later rounds only fill bins that are still empty; from round T on every element falls into bin i - T,
    so every bin of a non-empty set gets filled. A set of 130 elements needs two or three rounds instead of T hashes an
    element. Two sets agree in a bin with a probability of their similarity, with better concentration than independent minima.
-3. Banding: two neighbouring bins make a band, T / 2 bands; records that share a band are candidates. A pair of similarity
-   0.6 shares none with a probability of (1 - 0.36)**24 = 2e-5, one of 0.7 with 1e-7.
+3. Banding: three neighbouring bins make a band, 36 bands; records that share a band are candidates. A pair of similarity
+   0.6 shares none with a probability of (1 - 0.216)**36 = 1.6e-4, one of 0.7 with 4e-7. Bands of two bins would let
+   through several times as many unlike pairs, mostly records that share a tail, and their number grows as the square of the input.
 4. Verification: each candidate pair's sets are compared exactly.
 
 Copies are expanded only for p7_found, whose rows are pairs of records. Records without a valid substring are in no pair. Null or empty
@@ -32,8 +33,8 @@ from strandforge.llm.encode import text_chunks
 from strandforge.session import materialised
 
 K = 12
-BINS = 48
-ROWS = 2
+BINS = 108
+ROWS = 3
 THRESHOLD = (3, 5)  # 0.6 as a fraction
 CHUNK = 2_000_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -56,7 +57,10 @@ def sketches(element: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) -
 
 
 def band_keys(texts: list[str], seed: np.ndarray, bins: int = BINS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of every band of every text with a non-empty set; keys hold the band and ``seed`` (per text)."""
+    """(text number, key) of every band of every text with a non-empty set.
+
+    Keys have the band in the upper 6 bits, ``seed`` (a number below 16 per text) in the lower 4, and a hash between them.
+    """
     buf, owner = dna.codes(texts)
     code, ok = dna.packed(buf, K)
     at = np.flatnonzero(ok)
@@ -66,10 +70,10 @@ def band_keys(texts: list[str], seed: np.ndarray, bins: int = BINS, rows: int =
     keys = []
     for band in range(bins // rows):
         h = dna.mixed(seed[some].astype(np.uint64), band)
+        low = seed[some].astype(np.uint64)
         for j in range(rows):
             h = dna.mixed(h ^ sk[:, band * rows + j], j)
-        # 59 bits of hash under 5 bits of band: chance meetings are rare, and the bands don't meet
-        keys.append((h >> np.uint64(5)) | (np.uint64(band) << np.uint64(59)))
+        keys.append((np.uint64(band) << np.uint64(58)) | ((h >> np.uint64(10)) << np.uint64(4)) | low)
     return np.tile(some, len(keys)), np.concatenate(keys).view(np.int64) if len(some) else np.zeros(0, np.int64)
 
 
@@ -93,7 +97,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who, keys = band_keys(texts, tbl[a:b])
             for i in range(0, len(who), 100_000):
                 part = who[i : i + 100_000] + a
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(tbl[part].astype(np.int32)), pa.array(ids[part])], names=["key", "tbl", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(ids[part])], names=["key", "id"])
 
 
 def _set_sizes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +134,12 @@ def similar_pairs(records: DataFrame, copies: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b, similarity) of all similar pairs of representatives, id_a < id_b."""
     extra = copies.filter("id <> rep").select("tbl", "id")
     reps = records.select("tbl", "id", "seq").join(extra, ["tbl", "id"], "left_anti")
-    bands = reps.mapInArrow(_band_rows, "key bigint, tbl int, id bigint")
+    bands = reps.mapInArrow(_band_rows, "key bigint, id bigint")
     near = Window.partitionBy("key").orderBy("id")
     shared = bands.withColumn("n", F.coalesce(F.lag("id").over(near), F.lead("id").over(near))).filter(F.col("n").isNotNull()).drop("n")
     shared = materialised(shared, "p7-bands")
     a, b = shared.alias("a"), shared.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select("a.tbl", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.key").bitwiseAND(F.lit(15)).cast("int").alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     met = materialised(met.distinct(), "p7-candidates")
     needed = met.select("tbl", F.col("id_a").alias("id")).unionByName(met.select("tbl", F.col("id_b").alias("id"))).distinct()
     texts = materialised(records.select("tbl", "id", "seq").join(needed, ["tbl", "id"], "left_semi"), "p7-texts")
