@@ -92,8 +92,8 @@ def rename(records: DataFrame, name_map: DataFrame, keep_old_id: bool = False) -
     With keep_old_id the description of renamed records gets ``old_id=<old>``, after a space if there is one already. The
     map is broadcast by Spark where it is small; beyond that the join shuffles by name.
     """
-    last = name_map.filter(F.col("old_name").isNotNull() & F.col("new_name").isNotNull()).groupBy("old_name").agg(F.max_by("new_name", "ord").alias("__new"))
-    out = records.join(last, records["name"] == last["old_name"], "left").drop("old_name")
+    last = name_map.filter(F.col("old_name").isNotNull() & F.col("new_name").isNotNull()).groupBy(F.col("old_name").alias("__old")).agg(F.max_by("new_name", "ord").alias("__new"))
+    out = records.join(last, F.col("name") == F.col("__old"), "left").drop("__old")
     if keep_old_id:
         tag = F.concat(F.lit("old_id="), F.col("name"))
         blank = F.coalesce(F.trim("description"), F.lit("")) == ""
@@ -116,7 +116,11 @@ def _one_each(records: DataFrame, duplicates: str) -> DataFrame:
 
 
 def some_records(records: DataFrame, wanted: DataFrame, duplicates: str = "last") -> DataFrame:
-    """The requested records with ``ord``, to be ordered by it; of equal names the last or first record."""
+    """The requested records with ``ord``, to be ordered by it; of equal names the last or first record.
+
+    A column ``ord`` of the records gives way to that of the request.
+    """
+    records = records.drop("ord")
     few = records.join(wanted.select("name"), "name", "left_semi")
     return _one_each(few.select(*records.columns), duplicates).join(wanted, "name")
 
