@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LOAD = 0.75
+#: Filters are built whole from sorted keys, never inserted into, so slots may be nearly all in use.
+LOAD = 0.95
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
