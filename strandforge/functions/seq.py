@@ -45,8 +45,10 @@ def is_empty(seq: Column | str) -> Column:
 
 def letter_count(seq: Column | str, letters: str) -> Column:
     """How often any of ``letters`` occurs."""
-    c = _col(seq)
-    return (F.length(c) - F.length(F.translate(c, letters, ""))).cast("bigint")
+    c = rest = _col(seq)
+    for letter in letters:
+        rest = F.replace(rest, F.lit(letter), F.lit(""))
+    return (F.octet_length(c) - F.octet_length(rest)).cast("bigint")
 
 
 def base_counts(seq: Column | str) -> dict[str, Column]:
@@ -159,12 +161,10 @@ def kmer_array(seq: Column | str, k: int) -> Column:
 
 
 def unpack_kmer(data: Column | str, k: Column | str) -> Column:
-    """Letters of a packed k-mer: 2 bits a base (A C G T = 0 to 3), right-aligned in big-endian bytes."""
-    digits = F.hex(_col(data))
-    high = F.translate(digits, "0123456789ABCDEF", "AAAACCCCGGGGTTTT")
-    low = F.translate(digits, "0123456789ABCDEF", "ACGTACGTACGTACGT")
-    both = F.array_join(F.zip_with(F.split(high, ""), F.split(low, ""), lambda a, b: F.concat(a, b)), "")
-    return F.right(both, _col(k))
+    """Letters of a packed k-mer: 2 bits a base (A C G T = 0 to 3), right-aligned in at most 32 big-endian bytes."""
+    digits = F.lpad(F.hex(_col(data)), 64, "0")
+    parts = [F.lpad(F.conv(F.substring(digits, 1 + 16 * i, 16), 16, 4), 32, "0") for i in range(4)]
+    return F.right(F.translate(F.concat(*parts), "0123", "ACGT"), _col(k))
 
 
 def pack_kmer(kmer: Column | str, words: int = 4) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from strandforge.functions import seq as S
 
-BLOCK = 1_000_000
+#: Ids a block. What crosses borders is one row a block, so blocks may be small.
+BLOCK = 50_000
 
 
 @dataclass(frozen=True)

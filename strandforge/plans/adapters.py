@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandforge.operators import hic, kmers
-from strandforge.session import table
+from strandforge.session import spread, table
 
 K = 11
 
@@ -31,4 +31,4 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_db(spark: SparkSession, d: str, canonical: bool = False) -> DataFrame:
     """k-mers that occur at least twice in the reads."""
-    return kmers.counts(table(spark, d, "reads"), K, 2, canonical)
+    return kmers.counts(spread(table(spark, d, "reads")), K, 2, canonical)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from strandforge.functions import seq as S
 from strandforge.operators import fasta
 from strandforge.plans import adapters
-from strandforge.session import table
+from strandforge.session import spread, table
 
 
 def _seqs(spark, d):
-    return table(spark, d, "sequences")
+    return spread(table(spark, d, "sequences"))
 
 
 def _wanted(spark, d):

@@ -8,15 +8,15 @@ from strandforge.functions import seq as S
 from strandforge.operators import fastq, kmers
 from strandforge.plans import adapters
 from strandforge.plans.adapters import K
-from strandforge.session import table
+from strandforge.session import spread, table
 
 
 def _reads(spark, d):
-    return table(spark, d, "reads")
+    return spread(table(spark, d, "reads"))
 
 
 def _seqs(spark, d):
-    return table(spark, d, "sequences")
+    return spread(table(spark, d, "sequences"))
 
 
 def _pairs(spark, d):
@@ -29,7 +29,7 @@ def _merged(spark, d):
 
 
 def _packed(spark, d):
-    rows = table(spark, d, "kmer_stream").filter(F.col("data").isNotNull())
+    rows = spread(table(spark, d, "kmer_stream")).filter(F.col("data").isNotNull())
     return rows.select("obs_id", S.pack_kmer(S.unpack_kmer("data", "k")).alias("data"))
 
 
@@ -48,7 +48,7 @@ QUERIES = {
     "fa_kmer_cov": lambda spark, d: kmers.coverage(_seqs(spark, d), adapters.kmer_db(spark, d), K),
     "fa_kmer_cov_canonical": lambda spark, d: kmers.coverage(_seqs(spark, d), adapters.kmer_db(spark, d, True), K, True),
     "kmer_exists": lambda spark, d: kmers.lookup(kmers.explode(_seqs(spark, d), K).select("kmer").distinct(), adapters.kmer_db(spark, d)),
-    "kmer_unpack": lambda spark, d: table(spark, d, "kmer_stream").select("obs_id", S.unpack_kmer("data", "k").alias("kmer")),
+    "kmer_unpack": lambda spark, d: spread(table(spark, d, "kmer_stream")).select("obs_id", S.unpack_kmer("data", "k").alias("kmer")),
     "kmer_pack": _packed,
     "kmc_layout": lambda spark, d: table(spark, d, "kmc_dbs").select(
         "db_id", (F.col("kmer_length") - F.col("lut_prefix_length")).cast("int").alias("suffix_length"), (F.col("counter_size") + F.ceil((F.col("kmer_length") - F.col("lut_prefix_length")) / 4)).cast("int").alias("record_size")
