@@ -110,6 +110,26 @@ def q_bases(quality: Column | str, q: int) -> Column:
     return F.regexp_count(_col(quality), F.lit(f"[^\\x00-\\x{PHRED_OFFSET + q - 1:02x}]")).cast("bigint")
 
 
+def raw_phreds(quality: Column | str) -> Column:
+    """Phred values of raw quality bytes, as alignments hold them."""
+    digits = F.hex(_col(quality))
+    places = F.sequence(F.lit(0), F.octet_length(_col(quality)) - 1)
+    values = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.when(F.octet_length(_col(quality)) > 0, values).otherwise(F.array().cast("array<int>"))
+
+
+def raw_mean_phred(quality: Column | str) -> Column:
+    """P11 for raw quality bytes; 0 for none."""
+    n = F.octet_length(_col(quality))
+    total = F.aggregate(raw_phreds(quality), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.when(n == 0, F.lit(0.0)).otherwise(total / F.when(n > 0, n))
+
+
+def raw_q_bases(quality: Column | str, q: int) -> Column:
+    """P12 for raw quality bytes."""
+    return F.size(F.filter(raw_phreds(quality), lambda x: x >= q)).cast("bigint")
+
+
 def with_commas(n: Column | str) -> Column:
     """Thousands separated by commas."""
     return F.format_number(_col(n), 0)

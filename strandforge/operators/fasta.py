@@ -102,6 +102,13 @@ def rename(records: DataFrame, name_map: DataFrame, keep_old_id: bool = False) -
     return out.withColumn("name", F.coalesce("__new", "name")).drop("__new")
 
 
+def rename_counts(records: DataFrame, name_map: DataFrame) -> DataFrame:
+    """(total, renamed) of a renaming, in one row."""
+    old = name_map.filter(F.col("old_name").isNotNull() & F.col("new_name").isNotNull()).select(F.col("old_name").alias("__old")).distinct()
+    hit = records.select("name").join(old, F.col("name") == F.col("__old"), "left")
+    return hit.agg(F.count(F.lit(1)).alias("total"), F.count("__old").alias("renamed"))
+
+
 def targets(names: DataFrame) -> DataFrame:
     """(ord, name) of requested names: trimmed, blanks dropped, the first of repeated ones."""
     got = names.select(F.trim("name").alias("name"), "ord").filter(F.coalesce(F.col("name"), F.lit("")) != "")

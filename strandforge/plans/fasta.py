@@ -44,6 +44,7 @@ QUERIES = {
     "fa_nx": lambda spark, d: fasta.nx(_seqs(spark, d), {"n50": 0.5, "n75": 0.75, "n90": 0.9}),
     "fa_rename": lambda spark, d: fasta.rename(_seqs(spark, d), adapters.name_map(spark, d)).select("id", "name", "description"),
     "fa_rename_keep_old_id": lambda spark, d: fasta.rename(_seqs(spark, d), adapters.name_map(spark, d), True).select("id", "name", "description"),
+    "fa_rename_counts": lambda spark, d: fasta.rename_counts(_seqs(spark, d), adapters.name_map(spark, d)),
     "fa_one_record": lambda spark, d: fasta.one_record(_seqs(spark, d), "ostsen4_00000000").select("id", "name", "sequence"),
     "fa_some_records": lambda spark, d: fasta.some_records(_seqs(spark, d), _wanted(spark, d)).select("ord", "id", "name", "sequence"),
     "fa_some_records_first": lambda spark, d: fasta.some_records(_seqs(spark, d), _wanted(spark, d), "first").select("ord", "id", "name"),
@@ -106,6 +107,7 @@ ORACLE = {
     "fa_rename": f"select s.id, coalesce(m.new_name, s.name) as name, s.description {_RENAMED}",
     "fa_rename_keep_old_id": f"""select s.id, coalesce(m.new_name, s.name) as name, case when m.new_name is null then s.description
         when coalesce(trim(s.description), '') = '' then 'old_id=' || s.name else s.description || ' old_id=' || s.name end as description {_RENAMED}""",
+    "fa_rename_counts": "select count(*) as total, count(*) filter (where name in (select name from faidx where name is not null)) as renamed from sequences",
     "fa_one_record": "select id, name, sequence from sequences where name = 'ostsen4_00000000' order by id desc limit 1",
     "fa_some_records": f"select w.ord, s.id, s.name, s.sequence from {_WANTED} w join {_some('desc')} s on s.name = w.name and s.rn = 1",
     "fa_some_records_first": f"select w.ord, s.id, s.name from {_WANTED} w join {_some('asc')} s on s.name = w.name and s.rn = 1",

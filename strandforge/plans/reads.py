@@ -33,12 +33,21 @@ def _packed(spark, d):
     return rows.select("obs_id", S.pack_kmer(S.unpack_kmer("data", "k")).alias("data"))
 
 
+def _raw(spark, d):
+    # qualities as alignments hold them: bytes without the offset
+    shifted = "".join(chr(c) for c in range(0x21, 0x7F)), "".join(chr(c - 33) for c in range(0x21, 0x7F))
+    q = F.translate("quality", *shifted).cast("binary")
+    rows = _reads(spark, d).select("id", q.alias("q"))
+    return rows.select("id", S.raw_mean_phred("q").alias("mean_phred"), S.raw_q_bases("q", 20).alias("q20_bases"), S.raw_q_bases("q", 30).alias("q30_bases"))
+
+
 QUERIES = {
     "fq_stats": lambda spark, d: fastq.stats(_reads(spark, d)),
     "fq_stats_by_run": lambda spark, d: fastq.stats(_reads(spark, d), ["run"]),
     "fq_stats_merged": _merged,
     "fq_mean_quality": lambda spark, d: fastq.qualities(_reads(spark, d)).select("id", "mean_phred"),
     "fq_q_bases": lambda spark, d: fastq.qualities(_reads(spark, d)).select("id", "q20_bases", "q30_bases"),
+    "bam_quality": _raw,
     "fq_revcomp": lambda spark, d: fastq.revcomp(_reads(spark, d)).select("id", "sequence", "quality"),
     "fq_pairs": _pairs,
     "fq_text": lambda spark, d: fastq.to_text(_reads(spark, d)),
@@ -103,6 +112,8 @@ ORACLE = {
     "fq_stats_merged": _fq(),
     "fq_mean_quality": f"""select id, case when quality = '' then 0.0 else cast(list_sum(list_transform({_CHARS}, lambda c: greatest(c - 33, 0))) as double) / length(quality) end
         as mean_phred from reads""",
+    "bam_quality": f"""select id, case when quality = '' then 0.0 else cast(list_sum(list_transform({_CHARS}, lambda c: greatest(c - 33, 0))) as double) / length(quality) end
+        as mean_phred, {_Q.format('4')} as q20_bases, {_Q.format('>')} as q30_bases from reads""",
     "fq_q_bases": f"select id, {_Q.format('4')} as q20_bases, {_Q.format('>')} as q30_bases from reads",
     "fq_revcomp": f"select id, {_REV.format('sequence')} as sequence, reverse(quality) as quality from reads",
     "fq_pairs": f"select id, sequence as seq1, {_REV.format('sequence')} as seq2, reverse(quality) as qual2 from reads",

@@ -3,7 +3,7 @@ import importlib
 import pytest
 from oracle import compare, connect
 
-CORE = ("strandforge.plans.fasta", "strandforge.plans.reads", "strandforge.plans.alignments", "strandforge.plans.skew")
+CORE = ("strandforge.plans.fasta", "strandforge.plans.reads", "strandforge.plans.alignments", "strandforge.plans.files", "strandforge.plans.skew")
 NAMES = [(m, n) for m in CORE for n in importlib.import_module(m).QUERIES]
 
 
