@@ -9,7 +9,6 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandforge.operators import fasta, fastq, flagstat, hic, kmers
 from strandforge.sources import bam as bam_source
@@ -84,28 +83,57 @@ def fa_fai(spark: SparkSession | None, a: argparse.Namespace) -> str:
     return _index(a.fname)
 
 
+def _indexed(path: str) -> dict[str, tuple[int, int, int, int, str]]:
+    """The index beside a plain file, built if there is none. An index that is older than its file is used as it is."""
+    if not os.path.exists(f"{path}.faidx"):
+        _index(path)
+    return files.load_faidx(f"{path}.faidx")
+
+
+def _fasta_lines(name: str, desc: str, seq: str, width: int | None) -> list[str]:
+    body = [seq[i : i + width] for i in range(0, len(seq), width)] if width else [seq]
+    return [f">{name}" + (f" {desc}" if desc else ""), *body]
+
+
+def _some_by_index(path: str, names: list[str], width: int | None, out: str) -> bool:
+    """Few records by ranged reads, in the order asked for; False where the file's lines don't allow it."""
+    index, lines, missing = _indexed(path), [], []
+    try:
+        for name in names:
+            if name in index:
+                lines += _fasta_lines(*fasta_source.fetch(path, index[name], name), width)
+            else:
+                missing.append(name)
+    except files.MalformedFile as e:
+        log.warning("%s; reading the whole file", e)
+        return False
+    sinks.write_lines(lines, out)
+    for name in missing:
+        log.warning("record '%s' not found", name)
+    log.info("extracted %d of %d requested records", len(names) - len(missing), len(names))
+    return True
+
+
 def fa_one_record(spark: SparkSession | None, a: argparse.Namespace) -> str:
     files.require_extension(a.fname, files.FASTA_EXTENSIONS, gz=False)
-    index = f"{a.fname}.faidx"
-    if not os.path.exists(index):
-        _index(a.fname)
-    entry = files.load_faidx(index).get(a.name)
+    entry = _indexed(a.fname).get(a.name)
     if entry is None:
         raise files.InvalidInput(f"record '{a.name}' not found in the index")
     name, desc, seq = fasta_source.fetch(a.fname, entry, a.name)
     out = a.out or files.inside_name(a.fname, a.name)
-    body = [seq[i : i + a.width] for i in range(0, len(seq), a.width)] if a.width else [seq]
-    sinks.write_lines([f">{name}" + (f" {desc}" if desc else ""), *body], out)
+    sinks.write_lines(_fasta_lines(name, desc, seq, a.width), out)
     return out
 
 
 def fa_some_records(spark: SparkSession, a: argparse.Namespace) -> str:
     inline = [n for part in a.names or [] for n in part.split(",")]
     names = files.target_names(inline, a.query)
+    out = a.out or files.inside_name(a.fname, "some")
+    if len(names) <= SCAN_ABOVE and files.has_extension(a.fname, files.FASTA_EXTENSIONS, gz=False) and _some_by_index(a.fname, names, a.width, out):
+        return out
     wanted = files.target_frame(spark, names)
-    records = _records(spark, a.fname).withColumn("offset", F.col("offset"))
+    records = _records(spark, a.fname)
     found = fasta.some_records(records, wanted, "first" if len(names) > SCAN_ABOVE else "last")
-    out = a.out or files.inside_name(a.fname, "some")
     n = sinks.write_fasta(found, out, a.width, "ord")
     for r in fasta.missing_records(records, wanted).orderBy("ord").toLocalIterator():
         log.warning("record '%s' not found", r["name"])

@@ -231,7 +231,11 @@ def test_cli_fasta(spark, fa, tmp_path):
     assert (tmp_path / "x.b.fa").read_text() == ">b\nGGGG\n"
     assert run("fa-one-record", "-f", f, "-n", "nope") == 1
     assert run("fa-some-records", "-f", f, "-n", "c,nope", "a", "-w", "1") == 0
-    assert (tmp_path / "x.some.fa").read_text() == ">c x\tn\n>a again\nT\nT\n"
+    assert (tmp_path / "x.some.fa").read_text() == ">c:0-0\n>a again\nT\nT\n"
+    uneven = tmp_path / "u.fa"
+    uneven.write_bytes(b">a\nAC\nACGT\nA\n>b\n\nGG\n")
+    assert run("fa-some-records", "-f", str(uneven), "-n", "b", "a") == 0
+    assert (tmp_path / "u.some.fa").read_text() == ">b\nGG\n>a\nACACGTA\n"
     (tmp_path / "q").write_text("\n".join(["a", "b", *(f"no{i}" for i in range(1000))]))
     assert run("fa-some-records", "-f", f, "-q", str(tmp_path / "q"), "-o", str(tmp_path / "o.fa.gz")) == 0
     assert gzip.decompress((tmp_path / "o.fa.gz").read_bytes()) == b">a one\nACGTNACG\n>b\nGGGG\n"
