@@ -6,6 +6,7 @@ The files go to the session's shared folder, which the sources open as local pat
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from strandforge.sources import files
 def _folder(spark, name: str) -> tuple[str, str]:
     """A new folder as Spark's path and as a local one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    return path, path.removeprefix("file://")
+    return path, urlparse(path).path
 
 
 def _local(path: str, extension: str) -> list[str]:
