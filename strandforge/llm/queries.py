@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandforge.llm import distinct, encode, frequent, neardup, packing, percentiles, repetition, seen, spans
-from strandforge.session import table
+from strandforge.session import spread, table
 
 KMER = ["k", "data"]
 
@@ -26,14 +26,14 @@ QUERIES = {
     "p5_percentiles": lambda spark, d: percentiles.percentiles(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
     "p6_found": lambda spark, d: _hexed(frequent.frequent_exact(table(spark, d, "kmer_stream"), KMER).drop("n_rows")),
     "p6_frequent": lambda spark, d: _hexed(frequent.frequent(table(spark, d, "kmer_stream"), KMER)),
-    "p7_found": lambda spark, d: neardup.found({t: table(spark, d, t) for t in ("reads", "sequences")}),
-    "p7_groups": lambda spark, d: neardup.groups({t: table(spark, d, t) for t in ("reads", "sequences")}),
-    "p8_ids": lambda spark, d: encode.encode_column(table(spark, d, "documents")),
-    "p9_fill": lambda spark, d: packing.fill_documents(table(spark, d, "documents")),
-    "p9_usage": lambda spark, d: packing.usage(packing.fill_documents(table(spark, d, "documents"))),
-    "p10_found": lambda spark, d: repetition.found(table(spark, d, "documents")),
-    "p10_repeated": lambda spark, d: repetition.repeated(table(spark, d, "documents")),
-    "p10_fertility": lambda spark, d: repetition.fertility(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: neardup.found({t: spread(table(spark, d, t)) for t in ("reads", "sequences")}),
+    "p7_groups": lambda spark, d: neardup.groups({t: spread(table(spark, d, t)) for t in ("reads", "sequences")}),
+    "p8_ids": lambda spark, d: encode.encode_column(spread(table(spark, d, "documents"))),
+    "p9_fill": lambda spark, d: packing.fill_documents(spread(table(spark, d, "documents"))),
+    "p9_usage": lambda spark, d: packing.usage(packing.fill_documents(spread(table(spark, d, "documents")))),
+    "p10_found": lambda spark, d: repetition.found(spread(table(spark, d, "documents"))),
+    "p10_repeated": lambda spark, d: repetition.repeated(spread(table(spark, d, "documents"))),
+    "p10_fertility": lambda spark, d: repetition.fertility(spread(table(spark, d, "documents"))),
 }
 
 _SEEN = """
