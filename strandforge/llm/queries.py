@@ -41,7 +41,35 @@ _SEEN = """
            or w.k is not null) as seen
     from kmer_stream s left join known_kmers w on w.k = s.k and w.data = s.data where s.data is not null"""
 
+_WINDOWS = """
+    select distinct id, upper(substr(sequence, i, 120)) as w from (select id, sequence, unnest(range(1, length(sequence) - 118)) as i from sequences)
+    where regexp_full_match(substr(sequence, i, 120), '[ACGTacgt]+')"""
+
+
+def _similar(name: str) -> str:
+    return f"""
+    select '{name}' as table_name, id_a, id_b from (
+      with s as (select distinct id, upper(substr(sequence, i, 12)) as w from (select id, sequence, unnest(range(1, length(sequence) - 10)) as i from {name})
+        where regexp_full_match(substr(sequence, i, 12), '[ACGTacgt]+')),
+      n as (select id, count(*) as n from s group by id),
+      c as (select a.id as id_a, b.id as id_b, count(*) as c from s a join s b on a.w = b.w and a.id < b.id group by all)
+      select id_a, id_b from c join n x on x.id = id_a join n y on y.id = id_b where c * 5 >= (x.n + y.n - c) * 3)"""
+
+
+_REPEATED = """
+    with t as (select doc_id, translate(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
+      from documents where text is not null),
+    p as (select doc_id, x, unnest(range(1, length(x) + 1)) as i from t),
+    w as (select doc_id, i, case when i <= length(x) - 31 and row_number() over (partition by doc_id, substr(x, i, 32) order by i) > 1 then 1 else 0 end as again from p),
+    r as (select doc_id, max(again) over (partition by doc_id order by i rows between 31 preceding and current row) as hit from w),
+    h as (select doc_id, sum(hit) as hits from r group by doc_id),
+    res as (select t.doc_id, length(x) as n, cast(coalesce(hits, 0) as bigint) as repeated from t left join h on h.doc_id = t.doc_id)"""
+
 ORACLE = {
+    "p3_found": f"with w as ({_WINDOWS}) select distinct a.id as id_a, b.id as id_b from w a join w b on a.w = b.w and a.id < b.id",
+    "p7_found": f"{_similar('reads')} union all {_similar('sequences')}",
+    "p10_found": f"{_REPEATED} select doc_id from res where n >= 100 and repeated * 10 >= n * 3",
+    "p10_repeated": f"{_REPEATED} select doc_id, n, repeated, cast(repeated as double) / greatest(n, 1) as share from res",
     "p1_found": f"select obs_id from ({_SEEN}) where seen",
     "p1_first_sightings": f"select ref_name, count(*) as first_n from ({_SEEN}) where not seen group by ref_name",
     "p6_found": """
