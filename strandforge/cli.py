@@ -172,6 +172,8 @@ def fa_kmer_cov(spark: SparkSession, a: argparse.Namespace) -> str:
     prefix = files.kmc_prefix(a.kmc)
     h = _kmc_info(prefix)
     db = kmc.read_kmc(spark, prefix, in_memory=a.in_memory)
+    if a.canonical and not h.both_strands:  # a database of both strands holds canonical k-mers already
+        db = kmers.folded(db)
     rows = kmers.coverage(_records(spark, a.ref), db, h.kmer_length, a.canonical).orderBy("id").drop("id")
     sinks.write_tsv(rows, a.out, [], header=True, decimals={"mean_ref": 4, "mean_query": 4})
     return a.out

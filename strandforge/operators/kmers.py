@@ -20,11 +20,17 @@ def counts(records: DataFrame, k: int, min_count: int = 1, canonical: bool = Fal
     return got.filter(F.col("count") >= min_count) if min_count > 1 else got
 
 
+def folded(db: DataFrame) -> DataFrame:
+    """The database (kmer, count) by canonical k-mers; the counts of a k-mer and its reverse complement are added."""
+    return db.groupBy(S.canonical("kmer").alias("kmer")).agg(F.sum("count").cast("bigint").alias("count"))
+
+
 def coverage(records: DataFrame, db: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """Per record its k-mers in total and distinct, and how the database (kmer, count) covers them.
 
     Every record has a row, also without k-mers. Repeated k-mers of a record are counted before the join, so it meets a k-mer
-    once a record. The database must hold a k-mer once. With canonical both sides hold canonical k-mers.
+    once a record. The database must hold a k-mer once. With canonical the records' k-mers are made canonical here, those of the
+    database must be so already (see folded).
     """
     per = explode(records, k, canonical).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
     hit = per.join(db.select("kmer", F.col("count").alias("__c")), "kmer", "left")
