@@ -9,8 +9,8 @@ similarity of at least 0.6.
    its smallest value, so later rounds only fill bins that are still empty; from round T on every element falls into bin i - T,
    so every bin of a non-empty set gets filled. A set of 130 elements needs two or three rounds instead of T hashes an
    element. Two sets agree in a bin with a probability of their similarity, with better concentration than independent minima.
-3. Banding: three neighbouring bins make a band, 36 bands; records that share a band are candidates. A pair of similarity
-   0.6 shares none with a probability of (1 - 0.216)**36 = 1.6e-4, one of 0.7 with 4e-7. Bands of two bins would let
+3. Banding: three neighbouring bins make a band, 60 bands; records that share a band are candidates. A pair of similarity
+   0.6 shares none with a probability of (1 - 0.216)**60 = 4.6e-7, one of 0.7 with 1.1e-11. Bands of two bins would let
    through several times as many unlike pairs, mostly records that share a tail, and their number grows as the square of the input.
 4. Verification: each candidate pair's sets are compared exactly.
 
@@ -33,8 +33,9 @@ from strandforge.llm.encode import text_chunks
 from strandforge.session import materialised
 
 K = 12
-BINS = 108
+BINS = 180
 ROWS = 3
+SEED_AT = 54
 THRESHOLD = (3, 5)  # 0.6 as a fraction
 CHUNK = 2_000_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -59,7 +60,9 @@ def sketches(element: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) -
 def band_keys(texts: list[str], seed: np.ndarray, bins: int = BINS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of every band of every text with a non-empty set.
 
-    Keys have the band in the upper 6 bits, ``seed`` (a number below 16 per text) in the lower 4, and a hash between them.
+    Keys have the band in the upper 6 bits, ``seed`` (a number below 16 per text) in the next 4 and a hash in 38 more. The lower 16
+    are 0: they follow the zeros at the head of a shuffled row and so cost nothing there; keys that are equal by chance give
+    candidates that the verification drops.
     """
     buf, owner = dna.codes(texts)
     code, ok = dna.packed(buf, K)
@@ -70,10 +73,10 @@ def band_keys(texts: list[str], seed: np.ndarray, bins: int = BINS, rows: int =
     keys = []
     for band in range(bins // rows):
         h = dna.mixed(seed[some].astype(np.uint64), band)
-        low = seed[some].astype(np.uint64)
+        place = (np.uint64(band) << np.uint64(58)) | (seed[some].astype(np.uint64) << np.uint64(SEED_AT))
         for j in range(rows):
             h = dna.mixed(h ^ sk[:, band * rows + j], j)
-        keys.append((np.uint64(band) << np.uint64(58)) | ((h >> np.uint64(10)) << np.uint64(4)) | low)
+        keys.append(place | ((h >> np.uint64(26)) << np.uint64(16)))
     return np.tile(some, len(keys)), np.concatenate(keys).view(np.int64) if len(some) else np.zeros(0, np.int64)
 
 
@@ -139,7 +142,7 @@ def similar_pairs(records: DataFrame, copies: DataFrame) -> DataFrame:
     shared = bands.withColumn("n", F.coalesce(F.lag("id").over(near), F.lead("id").over(near))).filter(F.col("n").isNotNull()).drop("n")
     shared = materialised(shared, "p7-bands")
     a, b = shared.alias("a"), shared.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.key").bitwiseAND(F.lit(15)).cast("int").alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.shiftrightunsigned("a.key", SEED_AT).bitwiseAND(F.lit(15)).cast("int").alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     met = materialised(met.distinct(), "p7-candidates")
     needed = met.select("tbl", F.col("id_a").alias("id")).unionByName(met.select("tbl", F.col("id_b").alias("id"))).distinct()
     texts = materialised(records.select("tbl", "id", "seq").join(needed, ["tbl", "id"], "left_semi"), "p7-texts")
