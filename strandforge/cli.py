@@ -95,22 +95,33 @@ def _fasta_lines(name: str, desc: str, seq: str, width: int | None) -> list[str]
     return [f">{name}" + (f" {desc}" if desc else ""), *body]
 
 
-def _some_by_index(path: str, names: list[str], width: int | None, out: str) -> bool:
-    """Few records by ranged reads, in the order asked for; False where the file's lines don't allow it."""
-    index, lines, missing = _indexed(path), [], []
+def _some_by_index(spark: SparkSession, path: str, names: list[str], width: int | None, out: str) -> bool:
+    """Few records by ranged reads, in the order asked for; False where the file's lines don't allow it.
+
+    Names that the index lacks are looked up by a scan, whose rules for headers are wider.
+    """
+    index, found = _indexed(path), {}
+    if "" in index:
+        log.warning("%s: headers that the index has without a name; reading the whole file", path)
+        return False
     try:
         for name in names:
             if name in index:
-                lines += _fasta_lines(*fasta_source.fetch(path, index[name], name), width)
-            else:
-                missing.append(name)
+                found[name] = fasta_source.fetch(path, index[name], name)
+                if any(c in found[name][2] for c in " \t\f>"):
+                    raise files.MalformedFile(f"{path}: lines of '{name}' hold blanks or a header")
     except files.MalformedFile as e:
         log.warning("%s; reading the whole file", e)
         return False
-    sinks.write_lines(lines, out)
+    missing = [n for n in names if n not in found]
+    if missing:
+        for r in fasta.some_records(_records(spark, path), files.target_frame(spark, missing), "last").toLocalIterator():
+            found[r["name"]] = (r["name"], r["description"], r["sequence"])
+    sinks.write_lines([line for n in names if n in found for line in _fasta_lines(*found[n], width)], out)
     for name in missing:
-        log.warning("record '%s' not found", name)
-    log.info("extracted %d of %d requested records", len(names) - len(missing), len(names))
+        if name not in found:
+            log.warning("record '%s' not found", name)
+    log.info("extracted %d of %d requested records", len(found), len(names))
     return True
 
 
@@ -129,7 +140,7 @@ def fa_some_records(spark: SparkSession, a: argparse.Namespace) -> str:
     inline = [n for part in a.names or [] for n in part.split(",")]
     names = files.target_names(inline, a.query)
     out = a.out or files.inside_name(a.fname, "some")
-    if len(names) <= SCAN_ABOVE and files.has_extension(a.fname, files.FASTA_EXTENSIONS, gz=False) and _some_by_index(a.fname, names, a.width, out):
+    if len(names) <= SCAN_ABOVE and files.has_extension(a.fname, files.FASTA_EXTENSIONS, gz=False) and _some_by_index(spark, a.fname, names, a.width, out):
         return out
     wanted = files.target_frame(spark, names)
     records = _records(spark, a.fname)
