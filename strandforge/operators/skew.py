@@ -1,7 +1,8 @@
 """Per-key results when a few keys hold most rows (problem 2).
 
-The heavy keys are found first, exactly, by a partial count that reads the key columns only. Their rows get a
+The keys to salt are found first by a partial count that reads the key columns only. Their rows get a
 salt, partial results are computed per (key, salt), and a second stage merges the partials by the original key.
+Which keys are heavy in the result is decided by the merged number of rows.
 A heavy key's rows are so spread over ``salts`` tasks even for callers that switch map-side combining off or
 feed the operator from a shuffle; light keys keep one salt and cost one extra row each in the merge.
 """
@@ -15,13 +16,12 @@ from pyspark.sql import functions as F
 _KINDS = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
 
-def heavy_keys(df: DataFrame, keys: list[str], one_in: int) -> DataFrame:
-    """Keys that hold at least 1/``one_in`` of all rows of ``df``: the key columns and ``n_rows``.
+def heavy_keys(df: DataFrame, keys: list[str], one_in: int, total: int) -> DataFrame:
+    """Keys that hold at least 1/``one_in`` of the ``total`` rows of ``df``: the key columns and ``n_rows``.
 
     There are at most ``one_in`` such keys whatever the data, so the result may be broadcast. A key with a null
     in any of its columns counts as a key here (nulls equal each other). An empty input has no heavy keys.
     """
-    total = df.count()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.filter((F.col("n_rows") * one_in >= F.lit(total)) & F.lit(total > 0))
 
@@ -46,7 +46,8 @@ def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str,
     clash, because the operator works on its own column names.
     """
     needed = list(dict.fromkeys([c for _, c in aggs.values() if c is not None]))
-    heavy = heavy_keys(df.select(*keys), keys, one_in)
+    total = df.count()
+    heavy = heavy_keys(df.select(*keys), keys, one_in, total)
     hk = [f"__hk{i}" for i in range(len(keys))]
     heavy = heavy.select(*[F.col(k).alias(h) for k, h in zip(keys, hk)], F.lit(True).alias("__heavy"))
     work = df.select(
@@ -71,9 +72,9 @@ def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str,
             partial.append(first(src).alias(f"__p_{name}"))
             merge.append(second(f"__p_{name}").alias(f"__p_{name}"))
             final.append(F.col(f"__p_{name}").alias(name))
-    stage1 = marked.groupBy(*k, "__salt").agg(*partial, F.max("__heavy").alias("__heavy"))
-    stage2 = stage1.groupBy(*k).agg(*merge, F.max("__heavy").alias("__heavy"))
-    return stage2.select(*[F.col(a).alias(b) for a, b in zip(k, keys)], *final, F.coalesce("__heavy", F.lit(False)).alias("is_heavy"))
+    stage1 = marked.groupBy(*k, "__salt").agg(*partial, F.count(F.lit(1)).alias("__rows"))
+    stage2 = stage1.groupBy(*k).agg(*merge, F.sum("__rows").alias("__rows"))
+    return stage2.select(*[F.col(a).alias(b) for a, b in zip(k, keys)], *final, (F.col("__rows") * one_in >= F.lit(total)).alias("is_heavy"))
 
 
 def bin_totals(bins: DataFrame, one_in: int = 100, salts: int = 64) -> DataFrame:
