@@ -1,10 +1,11 @@
 """Per-key results when a few keys hold most rows (problem 2).
 
-The keys to salt are found first by a partial count that reads the key columns only. Their rows get a
-salt, partial results are computed per (key, salt), and a second stage merges the partials by the original key.
-Which keys are heavy in the result is decided by the merged number of rows.
-A heavy key's rows are so spread over ``salts`` tasks even for callers that switch map-side combining off or
-feed the operator from a shuffle; light keys keep one salt and cost one extra row each in the merge.
+The keys to salt are found first by one partial count that reads the key columns only and gives the number of all rows as well.
+Their rows get a salt, partial results are computed per (key, salt), and a second stage merges the partials by the original
+key. Which keys are heavy in the result is decided by the merged number of rows.
+
+The salt comes from a row's place in its scan, not from its content, so a key whose rows are all equal is split like any
+other; light keys keep one salt and cost one extra row each in the merge.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandforge.session import materialised
+
 #: kind -> (partial aggregate, merge of partials). ``mean`` is a sum and a count until the end.
 _KINDS = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
 
-def heavy_keys(df: DataFrame, keys: list[str], one_in: int, total: int) -> DataFrame:
-    """Keys that hold at least 1/``one_in`` of the ``total`` rows of ``df``: the key columns and ``n_rows``.
+def key_counts(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Rows of each key (the key columns and ``n_rows``), written once to the shared folder, and the number of all rows.
+
+    A key with a null in any of its columns counts as a key here (nulls equal each other).
+    """
+    counts = materialised(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), "p2-keys")
+    return counts, int(counts.agg(F.sum("n_rows")).first()[0] or 0)
+
+
+def heavy_keys(counts: DataFrame, one_in: int, total: int) -> DataFrame:
+    """The keys of ``counts`` that hold at least 1/``one_in`` of the ``total`` rows.
 
-    There are at most ``one_in`` such keys whatever the data, so the result may be broadcast. A key with a null
-    in any of its columns counts as a key here (nulls equal each other). An empty input has no heavy keys.
+    There are at most ``one_in`` such keys whatever the data, so the result may be broadcast. No rows have no heavy keys.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.filter((F.col("n_rows") * one_in >= F.lit(total)) & F.lit(total > 0))
 
 
@@ -33,32 +43,53 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], right_names:
     return cond
 
 
-def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], one_in: int = 100, salts: int = 64) -> DataFrame:
-    """Two-stage aggregation of ``df`` by ``keys``: one row per key, the named aggregates and ``is_heavy``.
+def salt(salts: int, unique: str | None = None) -> Column:
+    """A number below ``salts`` for each row, by its partition and place there, or by a hash of the column ``unique``.
 
-    ``aggs`` maps an output name to (kind, column); kind is count, sum, min, max or mean, and ``("count", None)``
-    counts rows. Heavy keys are those with at least 1/``one_in`` of the rows. The salt is a hash of the row, not
-    a random number, so a task that runs again after a lost executor puts every row where it was before.
+    The place is the same whenever a task runs again over its part of a file. Rows that come from a shuffle have no such place: give
+    a column that tells them apart.
+    """
+    if unique is not None:
+        return F.pmod(F.xxhash64(unique), F.lit(salts)).cast("int")
+    # the partition's number moves where its first rows go, else every task would begin with salt 0
+    return F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7, F.lit(salts)).cast("int")
 
-    Nulls: rows whose key holds a null form groups like any other; null values are left out of sum, min, max and
-    mean, a group with only null values gives null. Repeated rows count as they stand. An empty table gives no
-    rows. Columns of ``df`` that are neither keys nor aggregated are only hashed for the salt; their names can't
-    clash, because the operator works on its own column names.
+
+def salted(df: DataFrame, keys: list[str], needed: list[str], heavy: DataFrame, salts: int, unique: str | None = None) -> DataFrame:
+    """The columns of the keys (``__k0``...), the values (``__v0``...) and ``__salt``, which is 0 for keys that aren't heavy.
+
+    Only these columns of ``df`` are read, with ``unique`` if it is given.
     """
-    needed = list(dict.fromkeys([c for _, c in aggs.values() if c is not None]))
-    total = df.count()
-    heavy = heavy_keys(df.select(*keys), keys, one_in, total)
     hk = [f"__hk{i}" for i in range(len(keys))]
     heavy = heavy.select(*[F.col(k).alias(h) for k, h in zip(keys, hk)], F.lit(True).alias("__heavy"))
     work = df.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         *[F.col(c).alias(f"__v{i}") for i, c in enumerate(needed)],
-        F.xxhash64(*[F.col(c) for c in df.columns]).alias("__h"),
+        salt(salts, unique).alias("__place"),
     )
+    marked = work.join(F.broadcast(heavy), _null_safe(work, heavy, [f"__k{i}" for i in range(len(keys))], hk), "left")
+    return marked.withColumn("__salt", F.when(F.col("__heavy"), F.col("__place")).otherwise(F.lit(0))).drop(*hk, "__place", "__heavy")
+
+
+def salted_aggregate(
+    df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], one_in: int = 100, salts: int = 64, unique: str | None = None
+) -> DataFrame:
+    """Two-stage aggregation of ``df`` by ``keys``: one row per key, the named aggregates and ``is_heavy``.
+
+    ``aggs`` maps an output name to (kind, column); kind is count, sum, min, max or mean, and ``("count", None)``
+    counts rows. Heavy keys are those with at least 1/``one_in`` of the rows. ``df`` should be a scan; for rows that come from a
+    shuffle name a ``unique`` column (see ``salt``).
+
+    Nulls: rows whose key holds a null form groups like any other; null values are left out of sum, min, max and
+    mean, a group with only null values gives null. Repeated rows count as they stand, and copies of one row are spread over the
+    salts. An empty table gives no rows. Columns of ``df`` that are neither keys nor aggregated aren't read; their names can't
+    clash, because the operator works on its own column names.
+    """
+    needed = list(dict.fromkeys([c for _, c in aggs.values() if c is not None]))
+    counts, total = key_counts(df.select(*keys), keys)
+    marked = salted(df, keys, needed, heavy_keys(counts, one_in, total), salts, unique)
     k = [f"__k{i}" for i in range(len(keys))]
     value = {c: f"__v{i}" for i, c in enumerate(needed)}
-    marked = work.join(F.broadcast(heavy), _null_safe(work, heavy, k, hk), "left")
-    marked = marked.withColumn("__salt", F.when(F.col("__heavy"), F.pmod("__h", F.lit(salts))).otherwise(F.lit(0)).cast("int"))
 
     partial, merge, final = [], [], []
     for name, (kind, column) in aggs.items():

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = got.get() if got.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandforge-")
+        if got.isDefined():
+            at = got.get()
+        else:
+            local = tempfile.mkdtemp(prefix="strandforge-")
+            atexit.register(partial(shutil.rmtree, local, ignore_errors=True))
+            at = "file://" + local
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -40,9 +48,25 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage.
 
     The written table survives the loss of any executor; a plan that uses the result several times reads
-    the files instead of computing the input again.
+    the files instead of computing the input again. It is deleted by ``discard_materialised``, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def discard_materialised() -> None:
+    """Deletes the tables that ``materialised`` wrote; call it once the results that read them are written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended, and with it what could delete
+            return
