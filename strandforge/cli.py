@@ -32,6 +32,14 @@ def _report(title: str, rows: list[tuple[str, str]]) -> None:
         log.info("%-30s : %s", label, value)
 
 
+def _table(rows: DataFrame, out: str, parts: bool, header: bool = False, decimals: dict[str, int] | None = None) -> None:
+    """One file through the driver, or with --parts a folder of parts without header, written by all tasks."""
+    if parts:
+        sinks.write_tsv_folder(rows, out, decimals=decimals)
+    else:
+        sinks.write_tsv(rows, out, [], header, decimals)
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
     files.require_extension(path, files.FASTA_EXTENSIONS)
     return fasta_source.read_fasta(spark, path)
@@ -175,7 +183,7 @@ def dump_kmc(spark: SparkSession, a: argparse.Namespace) -> str:
     prefix = files.kmc_prefix(a.prefix)
     _kmc_info(prefix)
     out = a.out or f"{prefix}.dump.tsv"
-    sinks.write_tsv(kmc.read_kmc(spark, prefix, in_memory=a.in_memory), out, [])
+    _table(kmc.read_kmc(spark, prefix, in_memory=a.in_memory), out, a.parts)
     return out
 
 
@@ -186,7 +194,7 @@ def fa_kmer_cov(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.canonical and not h.both_strands:  # a database of both strands holds canonical k-mers already
         db = kmers.folded(db)
     rows = kmers.coverage(_records(spark, a.ref), db, h.kmer_length, a.canonical).orderBy("id").drop("id")
-    sinks.write_tsv(rows, a.out, [], header=True, decimals={"mean_ref": 4, "mean_query": 4})
+    _table(rows, a.out, a.parts, header=True, decimals={"mean_ref": 4, "mean_query": 4})
     return a.out
 
 
@@ -199,7 +207,7 @@ def hic_contact_matrix(spark: SparkSession, a: argparse.Namespace) -> str:
     bins = hic.binned(hic.contacts(rows, bam_source.read_refs(spark, a.input), limits), a.bin_size).persist()
     _report("MATRIX SUMMARY", sinks.matrix_rows(a.input, a.bin_size, limits, _one(hic.summary(bins))))
     out = f"{a.input}.{a.bin_size}bp.matrix.tsv"
-    sinks.write_tsv(hic.matrix(bins), out, ["chrom1", "bin1", "chrom2", "bin2"], header=True)
+    _table(hic.matrix(bins).orderBy("chrom1", "bin1", "chrom2", "bin2"), out, a.parts, header=True)
     return out
 
 
@@ -218,6 +226,7 @@ def parser() -> argparse.ArgumentParser:
     width = (("-w", "--width"), {"type": int})
     threads = (("-t", "--threads"), {"type": int, "default": 2})
     memory = (("--in-memory",), {"action": "store_true"})
+    parts = (("--parts",), {"action": "store_true"})
     command("fa-length", fa_length, fname)
     command("fa-stats", fa_stats, fname)
     command("fa-rename", fa_rename, fname, (("-m", "--map"), {"required": True}), out, (("--keep-old-id",), {"action": "store_true"}), (("-w", "--width"), {"type": int, "default": 80}))
@@ -226,11 +235,11 @@ def parser() -> argparse.ArgumentParser:
     command("fa-one-record", fa_one_record, fname, (("-n", "--name"), {"required": True}), out, width)
     command("fa-some-records", fa_some_records, fname, (("-q", "--query"), {}), (("-n", "--names"), {"nargs": "+"}), out, width)
     command("fq-stats", fq_stats, fname, threads)
-    command("dump-kmc", dump_kmc, (("-p", "--prefix"), {"required": True}), out, (("-i", *memory[0]), memory[1]))
-    command("fa-kmer-cov", fa_kmer_cov, (("-r", "--ref"), {"required": True}), (("-k", "--kmc"), {"required": True}), (("-o", "--out"), {"required": True}), (("-m", *memory[0]), memory[1]), threads, (("--canonical",), {"action": "store_true"}))
+    command("dump-kmc", dump_kmc, (("-p", "--prefix"), {"required": True}), out, (("-i", *memory[0]), memory[1]), parts)
+    command("fa-kmer-cov", fa_kmer_cov, (("-r", "--ref"), {"required": True}), (("-k", "--kmc"), {"required": True}), (("-o", "--out"), {"required": True}), (("-m", *memory[0]), memory[1]), threads, (("--canonical",), {"action": "store_true"}), parts)
     command(
         "hic-contact-matrix", hic_contact_matrix, (("-i", "--input"), {"required": True}), (("-b", "--bin-size"), {"type": int, "required": True}), threads,
-        (("-q", "--min-mapq"), {"type": int, "default": 30}), (("--max-nm",), {"type": int, "default": 5}), (("--min-as",), {"type": int, "default": 100}),
+        (("-q", "--min-mapq"), {"type": int, "default": 30}), (("--max-nm",), {"type": int, "default": 5}), (("--min-as",), {"type": int, "default": 100}), parts,
     )
     return p
 

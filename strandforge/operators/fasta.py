@@ -1,4 +1,4 @@
-"""FASTA operators: records are (id, name, description, sequence, ...) rows, ``id`` their place in the file.
+"""FASTA operators: records are (id, name, description, sequence, ...) rows; ``id`` is unique and orders them by file and place.
 
 Nulls: a null sequence counts as empty, a null description as none. Other columns pass through where records do.
 """
@@ -111,7 +111,7 @@ def rename_counts(records: DataFrame, name_map: DataFrame) -> DataFrame:
 
 def targets(names: DataFrame) -> DataFrame:
     """(ord, name) of requested names: trimmed, blanks dropped, the first of repeated ones."""
-    got = names.select(F.trim("name").alias("name"), "ord").filter(F.coalesce(F.col("name"), F.lit("")) != "")
+    got = names.select(S.trim_blank("name").alias("name"), "ord").filter(F.coalesce(F.col("name"), F.lit("")) != "")
     return got.groupBy("name").agg(F.min("ord").alias("ord"))
 
 

@@ -3,8 +3,8 @@
 Mates are neighbours in file order: primary records of equal name pair up two by two within a run, (1, 2), (3, 4), ...; an odd
 last one stays alone, and a pair that fails a filter is used up. This needs the record before and the place in the run, not
 groups by name. Records are cut into blocks of consecutive ids; what crosses a block's border (number of records, last
-record, start of the last run) is carried over in a table of one row a block. A name that holds a third of all
-rows is so no hot key, and one shuffle, by block, is enough.
+record, start of the last run) is carried over in a table of one row a block, which is worked through in groups of blocks. A name that
+holds a third of all rows is so no hot key, and one shuffle of the records, by block, is enough.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from strandforge.functions import seq as S
 
 #: Ids a block. What crosses borders is one row a block, so blocks may be small.
 BLOCK = 50_000
+#: Blocks a group, for what is carried over borders: 1e12 records are 2e7 blocks in 2,000 groups.
+WIDE = 10_000
 
 
 @dataclass(frozen=True)
@@ -35,26 +37,52 @@ def one_delivery(alignments: DataFrame) -> DataFrame:
     return alignments.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max(row).alias("__r")).select("id", "__r.*")
 
 
-def mates(alignments: DataFrame, block: int = BLOCK) -> DataFrame:
+def _carry(ends: DataFrame, own: list[str], wide: int) -> DataFrame:
+    """For each block the last record of the blocks before it in its file, and their number of records.
+
+    ``ends`` has one row a block. Blocks are cut into groups of ``wide`` blocks; windows run within groups, and over one row a
+    group, so no task orders all blocks.
+    """
+    group = F.floor(F.col("b") / wide).alias("g")
+    ends = ends.select(*own, group, "b", "rows", "last")
+    inner, outer = Window.partitionBy(*own, "g").orderBy("b"), Window.partitionBy(*own).orderBy("g")
+    tops = ends.groupBy(*own, "g").agg(F.sum("rows").alias("g_rows"), F.max_by("last", "b").alias("g_last"))
+    tops = tops.select(*own, "g", F.lag("g_last").over(outer).alias("g_carried"), (F.sum("g_rows").over(outer) - F.col("g_rows")).alias("g_offset"))
+    inside = ends.select(*own, "g", "b", F.lag("last").over(inner).alias("carried"), (F.sum("rows").over(inner) - F.col("rows")).alias("offset"))
+    both = inside.join(tops, [*own, "g"])
+    return both.select(*own, "b", F.coalesce("carried", "g_carried").alias("carried"), (F.col("offset") + F.col("g_offset")).alias("offset"))
+
+
+def _run_before(starts: DataFrame, own: list[str], wide: int) -> DataFrame:
+    """For each block the start of the run that its first record may continue, by the same two levels."""
+    starts = starts.select(*own, F.floor(F.col("b") / wide).alias("g"), "b", "s")
+    before = lambda w: F.max("s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    inside = starts.select(*own, "g", "b", before(Window.partitionBy(*own, "g").orderBy("b")).alias("r"))
+    tops = starts.groupBy(*own, "g").agg(F.max("s").alias("s")).select(*own, "g", before(Window.partitionBy(*own).orderBy("g")).alias("top"))
+    return inside.join(tops, [*own, "g"]).select(*own, "b", F.coalesce("r", "top").alias("run_before"))
+
+
+def mates(alignments: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """(pair_id, m1, m2) of consecutive primary records, before any filter; pair_id is the second mate's id.
 
-    ``id`` must be unique; its order is the file's order. Null names pair with nothing. m1 and m2 are structs.
+    ``id`` must be unique; its order is the file's order. With a column ``file`` no pair or run crosses from one file into
+    another. Null names pair with nothing. m1 and m2 are structs.
     """
+    own = ["__file"] if "file" in alignments.columns else []
     rec = F.struct("id", "name", "flag", "ref_id", "pos", "mapq", "nm", "as_score")
-    prim = alignments.filter(S.flag("is_primary")).select(F.floor(F.col("id") / block).alias("b"), F.col("id"), rec.alias("r"))
-    inside = Window.partitionBy("b").orderBy("id")
+    prim = alignments.filter(S.flag("is_primary"))
+    prim = prim.select(*[F.coalesce("file", F.lit("")).alias(c) for c in own], F.floor(F.col("id") / block).alias("b"), F.col("id"), rec.alias("r"))
+    keys = [*own, "b"]
+    inside = Window.partitionBy(*keys).orderBy("id")
     rows = prim.withColumns({"n": F.row_number().over(inside), "before": F.lag("r").over(inside)})
 
-    across = Window.orderBy("b")  # one row a block
-    ends = prim.groupBy("b").agg(F.count(F.lit(1)).alias("rows"), F.max_by("r", "id").alias("last"))
-    ends = ends.select("b", F.lag("last").over(across).alias("carried"), (F.sum("rows").over(across) - F.col("rows")).alias("offset"))
-    rows = rows.join(ends, "b").select("b", "id", "r", F.coalesce("before", "carried").alias("p"), (F.col("offset") + F.col("n")).alias("pid"))
+    ends = _carry(prim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max_by("r", "id").alias("last")), own, wide)
+    rows = rows.join(ends, keys).select(*keys, "id", "r", F.coalesce("before", "carried").alias("p"), (F.col("offset") + F.col("n")).alias("pid"))
     rows = rows.withColumn("start", F.when(F.coalesce(F.col("p.name") == F.col("r.name"), F.lit(False)), None).otherwise(F.col("pid")))
 
-    starts = rows.groupBy("b").agg(F.max("start").alias("s"))
-    starts = starts.select("b", F.max("s").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("run_before"))
+    starts = _run_before(rows.groupBy(*keys).agg(F.max("start").alias("s")), own, wide)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(starts, "b").withColumn("run", F.coalesce(F.max("start").over(upto), "run_before"))
+    rows = rows.join(starts, keys).withColumn("run", F.coalesce(F.max("start").over(upto), "run_before"))
     return rows.filter((F.col("pid") - F.col("run")) % 2 == 1).select(F.col("id").alias("pair_id"), F.col("p").alias("m1"), F.col("r").alias("m2"))
 
 

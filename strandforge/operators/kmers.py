@@ -1,4 +1,8 @@
-"""k-mer operators: windows, counts, and coverage of records by a k-mer database."""
+"""k-mer operators: windows, counts, and coverage of records by a k-mer database.
+
+A record's windows are taken from pieces of PIECE letters, which overlap by k - 1, so that no row ever holds all k-mers of a
+long sequence. ``id`` must tell records apart, as that of the readers does over any number of files.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,23 @@ from pyspark.sql import functions as F
 from strandforge.functions import seq as S
 
 
-def explode(records: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+#: Letters a piece.
+PIECE = 1 << 16
+
+
+def pieces(records: DataFrame, k: int, size: int = PIECE) -> DataFrame:
+    """(id, piece): every sequence of k letters or more in pieces of ``size`` windows."""
+    # bytes, in which a place is found without counting characters; only the piece's number is generated, not an array of texts
+    raw = records.select("id", F.col("sequence").cast("binary").alias("__b")).filter(F.octet_length("__b") >= k)
+    last = F.floor((F.octet_length("__b") - k) / size).cast("int")
+    return raw.select("id", "__b", F.explode(F.sequence(F.lit(0), last)).alias("__i")).select(
+        "id", F.substring("__b", F.col("__i") * size + 1, F.lit(size + k - 1)).cast("string").alias("piece")
+    )
+
+
+def explode(records: DataFrame, k: int, canonical: bool = False, size: int = PIECE) -> DataFrame:
     """(id, kmer), one row a valid window. Null or short sequences give none."""
-    got = records.select("id", F.explode(S.kmer_array("sequence", k)).alias("kmer"))
+    got = pieces(records, k, size).select("id", F.explode(S.kmer_array("piece", k)).alias("kmer"))
     return got.withColumn("kmer", S.canonical("kmer")) if canonical else got
 
 

@@ -62,18 +62,21 @@ def _pct(part: str, whole: str) -> str:
     return f"case when {whole} > 0 then cast({part} as double) / {whole} * 100.0 else 0.0 end as {part}_pct"
 
 
-_MATES = f"""with prim as (select *, row_number() over (order by id) as pid from {_A} where (flag & 2304) = 0),
-    isl as (select *, pid - row_number() over (partition by name order by pid) as g from prim),
-    num as (select *, row_number() over (partition by name, g order by pid) - 1 as k from isl),
-    pr as (select name, g, k // 2 as pk, count(*) as n, min(id) as id1, max(id) as pair_id,
+#: Pairs of mates in files, from rows with file_no and place.
+FILE_MATES = f"""with prim as (select *, row_number() over (order by file_no, id) as pid from {{rows}} where (flag & 2304) = 0),
+    isl as (select *, pid - row_number() over (partition by file_no, name order by pid) as g from prim),
+    num as (select *, row_number() over (partition by file_no, name, g order by pid) - 1 as k from isl),
+    pr as (select name, g, file_no, k // 2 as pk, count(*) as n, min(id) as id1, max(id) as pair_id, min(place) as place1, max(place) as place2,
       max(case when k % 2 = 0 then ref_id end) as r1, max(case when k % 2 = 0 then pos end) as p1,
       max(case when k % 2 = 1 then ref_id end) as r2, max(case when k % 2 = 1 then pos end) as p2,
       bool_and((flag & 1028) = 0 and ref_id >= 0 and pos >= 0 and mapq >= 30 and coalesce(nm <= 5, true) and coalesce(as_score >= 100, true)) as ok
-      from num where name is not null group by name, g, k // 2 having count(*) = 2),
+      from num where name is not null group by file_no, name, g, k // 2 having count(*) = 2),
     con as (select pair_id, a.name as c1, p1, b.name as c2, p2 from pr join bam_refs a on a.ref_id = r1 join bam_refs b on b.ref_id = r2 where ok),
     half as (select pair_id, c1, p1 - p1 % {BIN} as b1, c2, p2 - p2 % {BIN} as b2 from con),
     bins as (select pair_id, case when c1 > c2 or (c1 = c2 and b1 > b2) then c2 else c1 end as chrom1, case when c1 > c2 or (c1 = c2 and b1 > b2) then b2 else b1 end as bin1,
       case when c1 > c2 or (c1 = c2 and b1 > b2) then c1 else c2 end as chrom2, case when c1 > c2 or (c1 = c2 and b1 > b2) then b1 else b2 end as bin2 from half)"""
+#: The same over one file.
+_MATES = FILE_MATES.format(rows=f"(select *, 0 as file_no, id as place from {_A})")
 
 ORACLE = {
     "bam_flags": "select id, " + ", ".join(f"{c} as {n}" for n, c in _FLAG.items()) + f" from {_A}",

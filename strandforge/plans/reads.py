@@ -106,6 +106,8 @@ def _cov(canonical: bool = False) -> str:
         from sequences s left join got using (id)"""
 
 
+REVERSED, DATABASE, COVERAGE = _REV, _db(), _cov()
+
 ORACLE = {
     "fq_stats": _fq(),
     "fq_stats_by_run": _fq("run"),

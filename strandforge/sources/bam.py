@@ -1,6 +1,7 @@
 """BAM files as a Spark data source, one task a file.
 
-``id`` is the record's place in the file and ``primary_id`` its place among primary records (null for others). CIGARs are skipped; of
+``id`` is the record's place in the file and ``primary_id`` its place among primary records (null for others), each plus the
+file's number times 2**40, so that they are unique and ordered over many files. CIGARs are skipped; of
 the tags NM and AS are kept where they are whole numbers. ``option("columns", "name,flag")`` leaves the sequence and quality
 undecoded unless they are named.
 """
@@ -18,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandforge import schemas
 from strandforge.errors import MalformedFile
+from strandforge.sources import files
 
 # The letters of 4-bit bases, and the tag types with their sizes or formats.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -103,6 +105,7 @@ def records(f: BinaryIO, want_seq: bool = True, want_qual: bool = True) -> Itera
 @dataclass
 class File(InputPartition):
     path: str
+    file_no: int
 
 
 class BamReader(DataSourceReader):
@@ -112,21 +115,19 @@ class BamReader(DataSourceReader):
         self.seq, self.qual = "sequence" in named, "quality" in named
 
     def partitions(self) -> list[File]:
-        import glob
-
-        found = sorted(glob.glob(self.path)) or [self.path]
-        return [File(p) for p in found]
+        return [File(p, k) for k, p in enumerate(files.listed(self.path, None))]
 
     def read(self, partition: File):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 7, pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in schemas.BAM.split(", ")]
-        with gzip.open(partition.path, "rb") as f:
+        first = partition.file_no << files.PLACE_BITS
+        with files.open_raw(partition.path) as raw, gzip.GzipFile(fileobj=raw) as f:
             read_header(f)
             rows = []
-            for r in records(f, self.seq, self.qual):
-                rows.append((*r, partition.path))
+            for i, primary, *rest in records(f, self.seq, self.qual):
+                rows.append((first + i, None if primary is None else first + primary, *rest, partition.path))
                 if len(rows) >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                     rows = []
@@ -154,7 +155,7 @@ def read_bam(spark: SparkSession, path: str, columns: str = "sequence,quality")
 
 
 def read_refs(spark: SparkSession, path: str) -> DataFrame:
-    """The reference dictionary of a file: (ref_id, name, length)."""
-    with gzip.open(path, "rb") as f:
+    """The reference dictionary of a file, or of the first of several: (ref_id, name, length)."""
+    with files.open_raw(files.listed(path, None)[0]) as raw, gzip.GzipFile(fileobj=raw) as f:
         _, refs = read_header(f)
     return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(refs)], schemas.BAM_REFS)

@@ -7,7 +7,6 @@ skipped. Sequence lines are trimmed and joined, inner blanks and letter case sta
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +25,10 @@ BATCH_BYTES = 16 << 20
 
 @dataclass
 class Range(InputPartition):
-    """Records of ``path`` whose header starts in [lo, hi); hi -1 is the end."""
+    """Records of ``path``, the listing's file ``file_no``, whose header starts in [lo, hi); hi -1 is the end."""
 
     path: str
+    file_no: int
     number: int
     lo: int
     hi: int
@@ -36,13 +36,13 @@ class Range(InputPartition):
 
 def ranges(path: str, split_bytes: int) -> list[Range]:
     out = []
-    for p in files.listed(path, files.FASTA_EXTENSIONS):
-        size = os.path.getsize(p)
-        if p.lower().endswith(".gz") or size <= split_bytes:
-            out.append(Range(p, 0, 0, -1))
+    for k, p in enumerate(files.listed(path, files.FASTA_EXTENSIONS)):
+        size = 0 if p.lower().endswith(".gz") else files.byte_size(p)
+        if size <= split_bytes:
+            out.append(Range(p, k, 0, 0, -1))
         else:
             cuts = [*range(0, size, split_bytes), size]
-            out += [Range(p, i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            out += [Range(p, k, i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     return out
 
 
@@ -79,9 +79,25 @@ def records(part: Range) -> Iterator[tuple[int, str, str, str]]:
             yield start, *split_header(head), b"".join(lines).decode("utf-8", "replace")
 
 
+def count_headers(part: Range) -> int:
+    """Records of a range, from its header lines alone: nothing is joined or decoded."""
+    n = 0
+    with files.open_bytes(part.path) as f:
+        at = part.lo
+        if at:
+            f.seek(at - 1)
+            at += len(f.readline()) - 1
+        for raw in f:
+            if 0 <= part.hi <= at:
+                break
+            n += raw.lstrip(BLANK).startswith(b">")
+            at += len(raw)
+    return n
+
+
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
+        self.path, self.split, self.what = options["path"], int(options.get("splitBytes", SPLIT_BYTES)), options.get("rows", "records")
 
     def partitions(self) -> list[Range]:
         return ranges(self.path, self.split)
@@ -89,9 +105,19 @@ class FastaReader(DataSourceReader):
     def read(self, partition: Range):
         import pyarrow as pa
 
+        if self.what == "counts":
+            yield pa.RecordBatch.from_pydict({"file_no": pa.array([partition.file_no], pa.int32()), "split": pa.array([partition.number], pa.int32()), "n": pa.array([count_headers(partition)], pa.int64())})
+            return
+        if self.what == "index":
+            names = ["file", *(c.split()[0] for c in schemas.FAIDX.split(", "))]
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string()]
+            rows = [(partition.path, *r) for r in index_range(partition)]
+            for i in range(0, len(rows), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + BATCH]), kinds)], names=names)
+            return
         names = ["id", "name", "description", "sequence", "file", "offset", "split"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()]
-        rows, held, count = [], 0, 0
+        rows, held, count = [], 0, partition.file_no << files.PLACE_BITS
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -107,59 +133,89 @@ class FastaReader(DataSourceReader):
 
 
 class FastaSource(DataSource):
-    """``spark.read.format("fasta").load(path)``; ``id`` counts within a range (see read_fasta for the file's ordinals)."""
+    """``spark.read.format("fasta").load(path)``; within a file ``id`` counts by range (see read_fasta for the file's ordinals).
+
+    ``option("rows", "counts")`` gives the records of each range, ``option("rows", "index")`` the index rows.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "fasta"
 
     def schema(self) -> str:
-        return schemas.FASTA + ", split int"
+        kinds = {"counts": "file_no int, split int, n bigint", "index": "file string, " + schemas.FAIDX}
+        return kinds.get(self.options.get("rows", "records"), schemas.FASTA + ", split int")
 
     def reader(self, schema) -> FastaReader:
         return FastaReader(self.options)
 
 
 def read_fasta(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """FASTA records with ``id`` counted from 0 within each file.
+    """FASTA records of a file, folder or pattern; ``id`` is the place in the file plus the file's number times 2**40.
 
-    Where a file has several ranges, a range's number of records is counted first and added to those after it.
+    So it is unique in the whole result, and orders it by file and place. Where a file has several ranges, a range's headers
+    are counted first and added to the places after it.
     """
     spark.dataSource.register(FastaSource)
-    raw = spark.read.format("fasta").option("splitBytes", split_bytes).load(path)
+    read = spark.read.format("fasta").option("splitBytes", split_bytes)
+    raw = read.load(path)
     columns = ["id", "name", "description", "sequence", "file", "offset"]
     if all(r.number == 0 for r in ranges(path, split_bytes)):
         return raw.select(*columns)
-    per = raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))  # one row a range
-    before = per.select(F.col("file").alias("__f"), F.col("split").alias("__s"), (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("__o"))
-    got = raw.join(before, (raw["file"] == before["__f"]) & (raw["split"] == before["__s"]))
+    per = read.option("rows", "counts").load(path)  # one row a range
+    upto = F.sum("n").over(Window.partitionBy("file_no").orderBy("split"))
+    before = per.select(F.col("file_no").alias("__f"), F.col("split").alias("__s"), (upto - F.col("n")).alias("__o"))
+    got = raw.join(before, (F.shiftright("id", files.PLACE_BITS) == before["__f"]) & (raw["split"] == before["__s"]))
     return got.select((F.col("id") + F.col("__o")).alias("id"), *columns[1:])
 
 
-def build_index(path: str) -> list[tuple[str, int, int, int, int, str]]:
-    """Index rows of a plain file: name, length, offset, line_bases, line_width, description.
+def index_range(part: Range) -> Iterator[tuple[str, int, int, int, int, str]]:
+    """Index rows of the records whose header starts in a range: name, length, offset, line_bases, line_width, description.
 
     Only ``>`` in the first column starts a record; every byte but the line end counts as a base; layout is that of the
     record's first line with bases. Descriptions have blanks for tabs and ``.`` for none.
     """
-    files.require_extension(path, files.FASTA_EXTENSIONS, gz=False)
-    rows: list[list] = []
-    at = 0
-    with open(path, "rb") as f:
+    row: list | None = None
+    with files.open_raw(part.path) as f:
+        at = part.lo
+        if at:
+            f.seek(at - 1)
+            at += len(f.readline()) - 1
         for raw in f:
-            at += len(raw)
+            begin, at = at, at + len(raw)
             if raw.startswith(b">"):
+                if row is not None:
+                    yield tuple(row)
+                    row = None
+                if 0 <= part.hi <= begin:
+                    return
                 text = raw[1:].decode("utf-8", "replace").rstrip()
                 cut = next((i for i, c in enumerate(text) if c.isspace()), len(text))
-                rows.append([text[:cut], 0, at, 0, 0, text[cut + 1 :].lstrip().replace("\t", " ") or "."])
-            elif rows:
+                row = [text[:cut], 0, at, 0, 0, text[cut + 1 :].lstrip().replace("\t", " ") or "."]
+            elif row is not None:
                 bases = len(raw) - (2 if raw.endswith(b"\r\n") else raw.endswith(b"\n"))
                 if bases:
-                    row = rows[-1]
                     row[1] += bases
                     if not row[3]:
                         row[3:5] = bases, len(raw)
-    return [tuple(r) for r in rows]
+            elif 0 <= part.hi <= begin:
+                return
+    if row is not None:
+        yield tuple(row)
+
+
+def build_index(path: str) -> list[tuple[str, int, int, int, int, str]]:
+    """C2 on one machine: the index rows of a plain file in order."""
+    files.require_extension(path, files.FASTA_EXTENSIONS, gz=False)
+    return list(index_range(Range(path, 0, 0, 0, -1)))
+
+
+def read_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """C2 by ranges on the cluster: (file, name, length, offset, line_bases, line_width, description) of plain files."""
+    for p in files.listed(path, files.FASTA_EXTENSIONS):
+        files.require_extension(p, files.FASTA_EXTENSIONS, gz=False)
+    spark.dataSource.register(FastaSource)
+    return spark.read.format("fasta").option("splitBytes", split_bytes).option("rows", "index").load(path)
 
 
 def fetch(path: str, entry: tuple[int, int, int, int, str], name: str, start: int = 0, length: int | None = None) -> tuple[str, str, str]:
@@ -174,7 +230,7 @@ def fetch(path: str, entry: tuple[int, int, int, int, str], name: str, start: in
     first = offset + start // bases * width + start % bases
     last = start + n - 1
     end = offset + last // bases * width + last % bases + 1
-    with open(path, "rb") as f:
+    with files.open_raw(path) as f:
         f.seek(first)
         raw = f.read(end - first)
     text = raw.replace(b"\n", b"").replace(b"\r", b"").decode("utf-8", "replace")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
+import io
 import os
 from typing import BinaryIO
 
@@ -16,6 +17,9 @@ FASTA_EXTENSIONS = ("fasta", "fa", "fna", "faa", "ffn", "frn")
 FASTQ_EXTENSIONS = ("fastq", "fq")
 COMPRESSED_EXTENSIONS = ("gz", "bgz", "bz2", "xz", "zst")
 
+#: Bits of a record's place within its file; above them, ``id`` has the file's number in the order of the listing.
+PLACE_BITS = 40
+
 
 def has_extension(path: str, allowed: tuple[str, ...], gz: bool = True) -> bool:
     """Whether the name ends in an allowed extension, case ignored, perhaps followed by .gz."""
@@ -37,20 +41,58 @@ def is_compressed(path: str) -> bool:
     return "." in os.path.basename(path) and path.rsplit(".", 1)[1].lower() in COMPRESSED_EXTENSIONS
 
 
+def _storage(path: str):
+    """The file system of a path or URI (file, hdfs, s3, ...), the path on it, and what to put before its paths again."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path[: path.index(inner)] if inner in path else path.split("://")[0] + "://"
+
+
+def open_raw(path: str) -> BinaryIO:
+    """The file's bytes as they are, for reading at any place."""
+    if "://" not in path:
+        return open(path, "rb")  # noqa: SIM115
+    system, inner, _ = _storage(path)
+    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
+
+
 def open_bytes(path: str) -> BinaryIO:
     """The file's bytes, inflated if the name ends in .gz; members follow each other."""
-    return gzip.open(path, "rb") if path.lower().endswith(".gz") else open(path, "rb")  # noqa: SIM115
-
-
-def listed(path: str, allowed: tuple[str, ...]) -> list[str]:
-    """The files that a path, folder or pattern names, in order; those of a folder by extension."""
-    if os.path.isdir(path):
-        return sorted(p for n in os.listdir(path) if has_extension(p := os.path.join(path, n), allowed))
-    found = sorted(glob.glob(path)) if any(c in path for c in "*?[") and not os.path.exists(path) else [path]
-    for p in found:
-        require_extension(p, allowed)
-        if not os.path.exists(p):
-            raise FileNotFoundError(p)
+    raw = open_raw(path)
+    return gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw
+
+
+def byte_size(path: str) -> int:
+    system, inner, _ = _storage(path)
+    return system.get_file_info(inner).size or 0
+
+
+def listed(path: str, allowed: tuple[str, ...] | None) -> list[str]:
+    """The files that a path, folder or pattern names, in order; those of a folder by extension. URIs give URIs.
+
+    A pattern may stand in the last part of the path. ``allowed`` None takes any file.
+    """
+    from pyarrow import fs
+
+    system, inner, head = _storage(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        names = [f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File]
+        return sorted(head + n for n in names if allowed is None or has_extension(n, allowed))
+    if info.type == fs.FileType.File:
+        found = [path]
+    elif any(c in inner for c in "*?["):
+        folder = os.path.dirname(inner) or "."
+        names = [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File]
+        found = sorted(head + n for n in names if fnmatch.fnmatchcase(os.path.basename(n), os.path.basename(inner)))
+    else:
+        found = []
+    for p in found or [path]:
+        if allowed is not None:
+            require_extension(p, allowed)
     if not found:
         raise FileNotFoundError(path)
     return found

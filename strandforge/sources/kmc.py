@@ -7,7 +7,6 @@ are given. Counts are little-endian whole numbers.
 
 from __future__ import annotations
 
-import os
 import struct
 from dataclasses import dataclass
 
@@ -50,10 +49,10 @@ class Header:
 def read_header(prefix: str) -> Header:
     """Header of a database and the number of LUT slots."""
     path = f"{files.kmc_prefix(prefix)}.kmc_pre"
-    size = os.path.getsize(path)
+    size = files.byte_size(path)
     if size < 12:
         raise MalformedFile(f"{path}: too small for a KMC prefix file")
-    with open(path, "rb") as f:
+    with files.open_raw(path) as f:
         f.seek(size - 8)
         (length,) = struct.unpack("<I", f.read(4))
         start = size - 8 - length
@@ -73,10 +72,15 @@ def read_header(prefix: str) -> Header:
 
 
 def first_kmers(prefix: str, header: Header) -> np.ndarray:
-    """The LUT, mapped: index of the first k-mer of each slot."""
+    """The LUT: index of the first k-mer of each slot. A local file is mapped, another one read."""
+    path = f"{files.kmc_prefix(prefix)}.kmc_pre"
     if not header.slots:
         return np.zeros(0, "<u8")
-    return np.memmap(f"{files.kmc_prefix(prefix)}.kmc_pre", "<u8", "r", 4, (header.slots,))
+    if "://" not in path:
+        return np.memmap(path, "<u8", "r", 4, (header.slots,))
+    with files.open_raw(path) as f:
+        f.seek(4)
+        return np.frombuffer(f.read(8 * header.slots), "<u8")
 
 
 @dataclass
@@ -103,7 +107,7 @@ class KmcReader(DataSourceReader):
         h, first = self.header, first_kmers(self.prefix, self.header)
         letters = np.frombuffer(b"ACGT", np.uint8)
         n_suffix = -(-h.suffix_length // 4)
-        with open(f"{self.prefix}.kmc_suf", "rb") as f:
+        with files.open_raw(f"{self.prefix}.kmc_suf") as f:
             f.seek(4 + partition.lo * h.record_size)
             for lo in range(partition.lo, partition.hi, CHUNK):
                 n = min(CHUNK, partition.hi - lo)
@@ -148,6 +152,39 @@ def read_kmc(spark: SparkSession, prefix: str, range_kmers: int = RANGE, in_memo
     return df.persist() if in_memory else df
 
 
+def count_few(prefix: str, kmers: list[str]) -> list[int]:
+    """J4 for few k-mers: the count of each (0 if absent), by reading only the records of its prefix in each bin.
+
+    Letters are upper-cased; a text of another length or with other letters is absent. Beyond some thousands of k-mers
+    ``operators.kmers.lookup`` reads the database once instead.
+    """
+    h = read_header(prefix)
+    first, total, size = first_kmers(prefix, h), h.total_kmers, h.record_size
+    n_suffix, per_bin, out = size - h.counter_size, 4**h.lut_prefix_length, []
+    codes = {letter: i for i, letter in enumerate("ACGT")}
+    with files.open_raw(f"{files.kmc_prefix(prefix)}.kmc_suf") as f:
+        for kmer in kmers:
+            digits = [codes.get(c, -1) for c in (kmer or "").upper()]
+            if len(digits) != h.kmer_length or min(digits) < 0:
+                out.append(0)
+                continue
+            head = 0
+            for d in digits[: h.lut_prefix_length]:
+                head = head * 4 + d
+            tail = digits[h.lut_prefix_length :] + [0] * (-h.suffix_length % 4)
+            want = np.array([a << 6 | b << 4 | c << 2 | d for a, b, c, d in zip(*[iter(tail)] * 4)], np.uint8)
+            found = 0
+            for slot in range(head, h.slots, per_bin):
+                lo, hi = int(first[slot]), int(first[slot + 1]) if slot + 1 < h.slots else total
+                if lo < hi:
+                    f.seek(4 + lo * size)
+                    rows = np.frombuffer(f.read((hi - lo) * size), np.uint8).reshape(-1, size)
+                    for r in rows[(rows[:, :n_suffix] == want).all(axis=1)]:
+                        found += int.from_bytes(r[n_suffix:].tobytes(), "little")
+            out.append(found)
+    return out
+
+
 def header_frame(spark: SparkSession, prefix: str) -> DataFrame:
     """The header in one row."""
     h = read_header(prefix)
