@@ -17,6 +17,9 @@ def _hexed(df):
 QUERIES = {
     "p1_found": lambda spark, d: seen.seen_before(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_first_sightings": lambda spark, d: seen.first_sightings(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p1_filters": lambda spark, d: seen.stored_keys(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p1_new_by_day": lambda spark, d: seen.new_keys_by_day(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p1_error_bounds": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")).select("p_bits", "new_keys", "as_derived"),
     "p1_error_rates": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p3_found": lambda spark, d: spans.pairs(table(spark, d, "sequences")),
     "p3_shared": lambda spark, d: spans.shared(table(spark, d, "sequences")),
@@ -37,7 +40,7 @@ QUERIES = {
 }
 
 _SEEN = """
-    select s.obs_id, s.ref_name, (row_number() over (partition by s.k, s.data order by s.arrived_at, s.obs_id) > 1
+    select s.obs_id, s.ref_name, s.arrived_at, (row_number() over (partition by s.k, s.data order by s.arrived_at, s.obs_id) > 1
            or w.k is not null) as seen
     from kmer_stream s left join known_kmers w on w.k = s.k and w.data = s.data where s.data is not null"""
 
@@ -72,6 +75,12 @@ ORACLE = {
     "p10_repeated": f"{_REPEATED} select doc_id, n, repeated, cast(repeated as double) / greatest(n, 1) as share from res",
     "p1_found": f"select obs_id from ({_SEEN}) where seen",
     "p1_first_sightings": f"select ref_name, count(*) as first_n from ({_SEEN}) where not seen group by ref_name",
+    "p1_filters": """
+        with a as (select distinct k, data from kmer_stream where data is not null), w as (select distinct k, data from known_kmers)
+        select 'known' as kind, count(*) as n_keys from w union all select 'stream', count(*) from a
+        union all select 'merged', count(*) from (select * from a union select * from w)""",
+    "p1_new_by_day": f"select day, count(*) as n_new from (select seen, cast(arrived_at as date) as day from ({_SEEN})) where not seen group by day",
+    "p1_error_bounds": f"select unnest([28, 32, 48])::int as p_bits, count(*) as new_keys, true as as_derived from ({_SEEN}) where not seen",
     "p6_found": """
         select k, hex(data) as data_hex from kmer_stream where data is not null group by k, data
         having count(*) * 400 >= (select count(*) from kmer_stream)""",

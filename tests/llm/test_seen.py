@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandforge.llm import seen
-from strandforge.llm.quotient import QuotientFilter, distinct, expected_wrong
+from strandforge.llm.quotient import Builder, Cascade, QuotientFilter, distinct, expected_wrong
 
 SCHEMA = "obs_id bigint, sample string, ref_name string, k int, data binary, arrived_at timestamp, fp string, __fp string, first string"
 KNOWN = "k int, data binary, extra string"
@@ -29,7 +30,7 @@ def test_quotient_filter_holds_its_keys(a, b):
 def test_filter_is_compact():
     rng = np.random.default_rng(0)
     f = QuotientFilter.build(distinct(rng.integers(0, 2**48, 100_000).astype(np.uint64)), 48)
-    assert len(f.to_bytes()) < 100_000 * 6
+    assert len(f.to_bytes()) < 100_000 * 6 and f.nbytes < 100_000 * 6
     with pytest.raises(ValueError):
         f.merge(QuotientFilter.build(np.zeros(0, np.uint64), 20))
 
@@ -93,5 +94,52 @@ def test_filters_merge_as_rows(spark):
     b = spark.createDataFrame([(21, i.to_bytes(4, "big")) for i in range(300, 900)] + [(None, None)], "k int, data binary")
     merged = seen.merge_filters(seen.build_filters(a).unionByName(seen.build_filters(b))).collect()
     want = sorted(r[0] for r in a.union(b).filter("data is not null").select(seen.fingerprint(48).alias("f")).distinct().collect())
-    assert sorted(int(x) for r in merged for x in QuotientFilter.from_bytes(r["filter"]).fingerprints()) == want
+    assert sorted(int(x) | r.shard << 42 for r in merged for x in QuotientFilter.from_bytes(r["filter"]).fingerprints()) == want
     assert len({r.shard for r in merged}) == len(merged)
+
+
+def test_blocks_in_any_cut():
+    rng = np.random.default_rng(2)
+    keys = distinct(np.concatenate([rng.integers(0, 2**40, 60_000), rng.integers(0, 2**22, 30_000), np.arange(2**40 - 5000, 2**40)]).astype(np.uint64))
+    f = QuotientFilter.build(keys, 40)
+    assert np.array_equal(f.fingerprints(), keys)
+    ask = distinct(np.concatenate([keys[::7], rng.integers(0, 2**40, 5000).astype(np.uint64), np.array([0, 2**40 - 1], np.uint64)]))
+    assert np.array_equal(f.contains(ask), np.isin(ask, keys))
+    b = Builder(40, len(keys))
+    for part in np.array_split(keys, 137):
+        b.append(part)
+    assert b.finish().to_bytes() == f.to_bytes()
+
+
+def test_cascade_is_small_and_rewrites_little():
+    """Many known keys and small days: the filters are the only state, and the large one isn't rebuilt every day."""
+    rng = np.random.default_rng(1)
+    known = distinct(rng.integers(0, 2**42, 400_000).astype(np.uint64))
+    c = Cascade(42)
+    c.absorb(QuotientFilter.build(known, 42))
+    big, held = c.filters[0], set(known.tolist())
+    for _ in range(60):
+        day = distinct(np.concatenate([rng.integers(0, 2**42, 500).astype(np.uint64), rng.choice(known, 100)]))
+        got = np.concatenate([c.fresh(day[:300]), c.fresh(day[300:])])
+        assert got.tolist() == [x not in held for x in day.tolist()]
+        held |= set(day.tolist())
+        c.close_day()
+    assert c.filters[0] is big and len(c.filters) < 10 and c.n == len(held)
+    assert c.nbytes < 8 * len(held)
+
+
+def test_days_before_1970_and_1900(spark):
+    day = lambda y: dt.datetime(y, 1, 1)
+    rows = [(1, 21, b"a", day(1890)), (2, 21, b"a", day(1899)), (3, 21, b"a", day(1969)), (4, 21, b"b", day(1890)), (5, 21, b"b", day(2020)), (6, 21, b"c", dt.datetime(1899, 12, 31)), (7, 21, b"c", dt.datetime(1899, 12, 30))]
+    stream = spark.createDataFrame(rows, "obs_id bigint, k int, data binary, arrived_at timestamp")
+    old = spark.createDataFrame([], "k int, data binary")
+    assert sorted(r.obs_id for r in seen.seen_before(stream, old).collect()) == [2, 3, 5, 6]
+
+
+def test_many_known_keys_and_a_small_batch(spark):
+    known = spark.range(300_000).select(F.lit(21).alias("k"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("data"))
+    stream = spark.range(299_950, 300_050).select(F.col("id").alias("obs_id"), F.lit(21).alias("k"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("data"), F.lit(T).alias("arrived_at"))
+    assert sorted(r.obs_id for r in seen.seen_before(stream, known).collect()) == list(range(299_950, 300_000))
+    assert [r.n_new for r in seen.new_keys_by_day(stream, known).collect()] == [50]
+    assert {r.kind: r.n_keys for r in seen.stored_keys(stream, known).collect()} == {"known": 300_000, "stream": 100, "merged": 300_050}
+    assert seen.shards_for(10**10) == 13
