@@ -199,19 +199,23 @@ class QuotientFilter:
         return cls(p, q, n, np.frombuffer(raw, np.uint8, slots * width, at + 8 * blocks).reshape(slots, width), *maps, first)
 
 
+#: New keys of small days that wait, sorted, until they are enough for a filter.
+WAIT = 1024
+
+
 class Cascade:
-    """Filters of falling size, and the sorted new keys of the day that are in none of them yet."""
+    """Filters of falling size, up to WAIT keys of small days, and the sorted new keys of the day, which count from the next on."""
 
     def __init__(self, p: int):
-        self.p, self.filters, self.new, self.n_new = p, [], [], 0
+        self.p, self.filters, self.waiting, self.new, self.n_new = p, [], np.zeros(0, np.uint64), [], 0
 
     @property
     def n(self) -> int:
-        return sum(f.n for f in self.filters) + self.n_new
+        return sum(f.n for f in self.filters) + len(self.waiting) + self.n_new
 
     @property
     def nbytes(self) -> int:
-        return sum(f.nbytes for f in self.filters) + 8 * self.n_new
+        return sum(f.nbytes for f in self.filters) + 8 * (len(self.waiting) + self.n_new)
 
     def absorb(self, f: QuotientFilter) -> None:
         self.filters.append(f)
@@ -224,17 +228,26 @@ class Cascade:
         new = np.ones(len(fingerprints), bool)
         for f in self.filters:
             new &= ~f.contains(fingerprints)
+        if len(self.waiting):
+            at = np.searchsorted(self.waiting, fingerprints)
+            new &= self.waiting[np.minimum(at, len(self.waiting) - 1)] != fingerprints
         self.new.append(fingerprints[new])
         self.n_new += int(new.sum())
         return new
 
     def close_day(self) -> None:
-        """The day's new keys become a filter. They came sorted and different, in parts."""
-        if self.n_new:
-            b = Builder(self.p, self.n_new)
-            for part in self.new:
-                b.append(part)
+        """The day's new keys, which came sorted and different in parts, become a filter once there are WAIT of them."""
+        if len(self.waiting) + self.n_new >= WAIT:
+            b = Builder(self.p, len(self.waiting) + self.n_new)
+            if len(self.waiting):
+                b.append(np.sort(np.concatenate([self.waiting, *self.new])))
+                self.waiting = self.waiting[:0]
+            else:
+                for part in self.new:
+                    b.append(part)
             self.absorb(b.finish())
+        elif self.n_new:
+            self.waiting = np.sort(np.concatenate([self.waiting, *self.new]))
         self.new, self.n_new = [], 0
 
 

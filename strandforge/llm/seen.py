@@ -36,7 +36,7 @@ from strandforge.session import materialised
 #: Keys that a shard is meant for; its filters then take some 10 MB.
 SHARD_ROWS = 2_000_000
 #: Shards at least, so that a small cluster's tasks have about equally many.
-LEAST_BITS = 6
+LEAST_BITS = 5
 P_BITS = 48
 #: (arrived_at, obs_id) as one number: microseconds times STEP, plus obs_id made non-negative by BIAS.
 _BIAS = "cast('9223372036854775808' as decimal(20,0))"
@@ -89,7 +89,9 @@ def _bits(p: int, rows: int) -> int:
     return max(0, min(p - 8, shards_for(rows)))
 
 
-_ROW = "shard int, day int, fp bigint, obs_id bigint, filter binary"
+def _tasks(df: DataFrame, bits: int) -> int:
+    """Tasks for 2**bits shards: those of any shuffle, and more where a task would hold more than four shards."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
 
 
 def _probe(p: int):
@@ -139,7 +141,7 @@ def scan_stream(stream: DataFrame, known: DataFrame, p: int = P_BITS, rows: int
     new = batches.select(F.shiftright("fp", p - bits).cast("int").alias("shard"), "day", F.col("fp").bitwiseAND((1 << (p - bits)) - 1).alias("fp"), _row_of("first").alias("obs_id"), none.alias("filter"))
     null = F.lit(None)
     old = build_filters(known, p, bits).select("shard", null.cast("int").alias("day"), null.cast("bigint").alias("fp"), null.cast("bigint").alias("obs_id"), "filter")
-    both = new.unionByName(old).repartition("shard").sortWithinPartitions("shard", F.col("day").asc_nulls_first(), "fp")
+    both = new.unionByName(old).repartition(_tasks(stream, bits), "shard").sortWithinPartitions("shard", F.col("day").asc_nulls_first(), "fp")
     return both.mapInArrow(_probe(p - bits), "day int, obs_id bigint")
 
 
@@ -238,7 +240,7 @@ def build_filters(keys: DataFrame, p: int = P_BITS, bits: int | None = None) ->
     bits = _bits(p, keys.count()) if bits is None else bits
     fps = _valid(keys).select(fingerprint(p).alias("fp")).distinct()
     fps = fps.select(F.shiftright("fp", p - bits).cast("int").alias("shard"), F.col("fp").bitwiseAND((1 << (p - bits)) - 1).alias("fp"))
-    return fps.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_build(p - bits), "shard int, n_keys bigint, filter binary")
+    return fps.repartition(_tasks(keys, bits), "shard").sortWithinPartitions("shard", "fp").mapInArrow(_build(p - bits), "shard int, n_keys bigint, filter binary")
 
 
 def merge_filters(filters: DataFrame) -> DataFrame:
