@@ -94,7 +94,7 @@ def test_filters_merge_as_rows(spark):
     b = spark.createDataFrame([(21, i.to_bytes(4, "big")) for i in range(300, 900)] + [(None, None)], "k int, data binary")
     merged = seen.merge_filters(seen.build_filters(a).unionByName(seen.build_filters(b))).collect()
     want = sorted(r[0] for r in a.union(b).filter("data is not null").select(seen.fingerprint(48).alias("f")).distinct().collect())
-    assert sorted(int(x) | r.shard << 42 for r in merged for x in QuotientFilter.from_bytes(r["filter"]).fingerprints()) == want
+    assert sorted(int(x) | r.shard << 48 - seen.LEAST_BITS for r in merged for x in QuotientFilter.from_bytes(r["filter"]).fingerprints()) == want
     assert len({r.shard for r in merged}) == len(merged)
 
 
