@@ -26,6 +26,8 @@ QUERIES = {
     "p3_repeats": lambda spark, d: spans.repeats(spans.matches(table(spark, d, "sequences"))),
     "p4_coverage_distinct": lambda spark, d: distinct.coverage_distinct(table(spark, d, "kmer_coverage")),
     "p4_stream_distinct": lambda spark, d: distinct.stream_distinct(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
+    "p4_error": lambda spark, d: distinct.coverage_error(table(spark, d, "kmer_coverage")),
+    "p4_stream_error": lambda spark, d: distinct.stream_error(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p5_percentiles": lambda spark, d: percentiles.percentiles(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
     "p6_found": lambda spark, d: _hexed(frequent.frequent_exact(table(spark, d, "kmer_stream"), KMER).drop("n_rows")),
     "p6_frequent": lambda spark, d: _hexed(frequent.frequent(table(spark, d, "kmer_stream"), KMER)),
@@ -81,6 +83,14 @@ ORACLE = {
         union all select 'merged', count(*) from (select * from a union select * from w)""",
     "p1_new_by_day": f"select day, count(*) as n_new from (select seen, cast(arrived_at as date) as day from ({_SEEN})) where not seen group by day",
     "p1_error_bounds": f"select unnest([28, 32, 48])::int as p_bits, count(*) as new_keys, true as as_derived from ({_SEEN}) where not seen",
+    "p4_error": """
+        select cast(measured_at as date) as day, sample, db_id, cast(grouping(cast(measured_at as date)) * 4 + grouping(sample) * 2 + grouping(db_id) as int) as grouping,
+               count(distinct ref_name) as n_exact, true as within
+        from kmer_coverage group by cube (cast(measured_at as date), sample, db_id)""",
+    "p4_stream_error": """
+        select cast(arrived_at as date) as day, sample, ref_name, count(distinct case when s.data is not null then (s.k, s.data) end) as exact_ref,
+               count(distinct case when w.k is not null then (s.k, s.data) end) as exact_query, true as within
+        from kmer_stream s left join known_kmers w on w.k = s.k and w.data = s.data group by 1, 2, 3""",
     "p6_found": """
         select k, hex(data) as data_hex from kmer_stream where data is not null group by k, data
         having count(*) * 400 >= (select count(*) from kmer_stream)""",

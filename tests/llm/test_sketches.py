@@ -38,6 +38,19 @@ def test_distinct_merge_cube_and_nulls(spark):
     assert {r["sample"]: r.n for r in distinct.estimate(both, ["sample"], "n").collect()} == {"a": 2, "b": 0, None: 2}
 
 
+def test_small_sets_are_counted(spark):
+    """Sets of up to some dozens of items are exact, also where two items share a bit, and bounds hold the truth everywhere."""
+    df = spark.range(200 * 40).select((F.col("id") % 200).alias("g"), (F.col("id") * 7919).alias("id")).filter(F.col("id") % 40 <= F.col("g") % 40)
+    exact = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    got = distinct.estimate(distinct.sketch(df, {"g": F.col("g")}, ["id"]), ["g"], "n").collect()
+    assert {r.g: r.n for r in got} == exact and all(r.n_low == r.n == r.n_high for r in got)
+    big = spark.range(60_000).select((F.col("id") % 3).alias("g"), "id")
+    for r in distinct.estimate(distinct.sketch(big, {"g": F.col("g")}, ["id"]), ["g"], "n").collect():
+        assert r.n_low <= 20_000 <= r.n_high and r.n_low < r.n < r.n_high
+    rows = distinct.sketch(big, {"g": F.col("g")}, ["id"]).count()
+    assert rows < 3 * 256 * 15
+
+
 def test_stream_distinct(spark):
     d = dt.datetime(2026, 3, 1)
     rows = [(d, "s", "r", 21, b"a"), (d, "s", "r", 21, b"a"), (d, "s", "r", 31, b"a"), (d, "s", None, 21, None), (None, "s", "r", 21, b"b")]
