@@ -118,3 +118,16 @@ def frequent_exact(df: DataFrame, item: list[str], one_in: int = 400, width: int
         on = on & (F.col(c) == F.col(f"__c_{c}"))
     counted = df.select(*item).join(F.broadcast(few), on, "left_semi").groupBy(*item).agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.filter(F.col("n_rows") * one_in >= F.lit(total))
+
+
+def intervals(df: DataFrame, item: list[str], one_in: int = 400, width: int = 4000) -> DataFrame:
+    """The exact frequent items beside the summary's intervals: (item..., n_rows, inside), ``inside`` being that the summary has the item
+    with count_lo <= n_rows <= count_hi and an interval of at most rows / width."""
+    counts, rows = lossy_counts(df, item, width)
+    few = counts.select(*[F.col(c).alias(f"__c_{c}") for c in item], "count_lo", "count_hi")
+    exact = frequent_exact(df, item, one_in, width)
+    on = F.lit(True)
+    for c in item:
+        on = on & (F.col(c) == F.col(f"__c_{c}"))
+    inside = (F.col("count_lo") <= F.col("n_rows")) & (F.col("n_rows") <= F.col("count_hi")) & ((F.col("count_hi") - F.col("count_lo")) * width <= F.lit(rows))
+    return exact.join(few, on, "left").select(*item, "n_rows", F.coalesce(inside, F.lit(False)).alias("inside"))

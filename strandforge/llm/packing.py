@@ -156,3 +156,19 @@ def usage(filled: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     got = filled.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
     least = F.ceil(F.col("tokens") / capacity).cast("bigint")
     return got.select("containers", "tokens", least.alias("least"), F.when(F.col("containers") > 0, 1.0 - F.col("tokens") / (F.col("containers") * capacity)).otherwise(0.0).alias("unused"))
+
+
+def checked(documents: DataFrame, capacity: int = CAPACITY, path: str = encode.VOCABULARY) -> DataFrame:
+    """One row about ``fill_documents``: n_documents that were placed; wrong_documents whose pieces don't cover them once, or are more than
+    their size needs; overfull containers; and ``dense``, whether at most 1 % and one container more are used than the least
+    possible number. ``doc_id`` must be unique here."""
+    sizes = materialised(encode.count_column(documents, path=path), "p9-sizes")
+    pieces = materialised(fill(sizes, capacity=capacity), "p9-pieces")
+    size = sizes.filter("size > 0").select("doc_id", F.col("size").cast("bigint").alias("__size"))
+    per = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum("length").alias("sum"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"))
+    both = size.join(per, "doc_id", "full")
+    right = (F.col("sum") == F.col("__size")) & (F.col("end") == F.col("__size")) & (F.col("starts") == F.col("m")) & (F.col("m") == F.ceil(F.col("__size") / capacity))
+    docs = both.agg(F.count("m").alias("n_documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong_documents"))
+    full = pieces.groupBy("container").agg(F.sum("length").alias("held")).agg(F.count_if(F.col("held") > capacity).alias("overfull"), F.count(F.lit(1)).alias("__c"), F.coalesce(F.sum("held"), F.lit(0)).alias("__t"))
+    one = docs.crossJoin(F.broadcast(full))  # a row each
+    return one.select("n_documents", "wrong_documents", "overfull", (F.col("__c") * 100 <= F.ceil(F.col("__t") / capacity) * 101 + 100).alias("dense"))

@@ -204,9 +204,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: dict[tuple, Sketch] = {}
     at, held = None, None
     for batch in batches:
-        for metric, grp, day, raw in zip(*(batch.column(c).to_pylist() for c in ("metric", "grp", "day", "sketch"))):
+        part = batch.column("__s").to_pylist() if "__s" in batch.schema.names else [0] * batch.num_rows
+        for metric, grp, day, raw, no in zip(*(batch.column(c).to_pylist() for c in ("metric", "grp", "day", "sketch")), part):
             s = Sketch.from_bytes(raw)
-            if held is not None and (metric, grp, day) == at:
+            if held is not None and (metric, grp, day, no) == at:
                 held.merge(s)
                 continue
             if held is not None:
@@ -214,7 +215,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(done) >= 500:
                     yield from _rows(done)
                     done = {}
-            at, held = (metric, grp, day), s
+            at, held = (metric, grp, day, no), s
     if held is not None:
         done[at] = held
     yield from _rows(done)
@@ -231,10 +232,23 @@ def partial_sketches(df: DataFrame, metric: str, grp: str, day, value: str) -> D
     return rows.mapInArrow(_take_up(metric, is_text), _PARTIAL)
 
 
-def merge_sketches(sketches: DataFrame, over_days: bool = False) -> DataFrame:
-    """One sketch per (metric, grp, day), or per (metric, grp) with a null day."""
+#: Partial sketches of one group that a task merges; of more, square roots of their number are merged first.
+TOGETHER = 256
+
+
+def merge_sketches(sketches: DataFrame, over_days: bool = False, together: int = TOGETHER) -> DataFrame:
+    """One sketch per (metric, grp, day), or per (metric, grp) with a null day.
+
+    A group can have a sketch from every task. Beyond ``together`` tasks the sketches are merged in two levels: those of some
+    tasks each, then what came of them, so that no task merges all sketches of a group that holds most rows.
+    """
     rows = sketches.withColumn("day", F.lit(None).cast("date")) if over_days else sketches
     keys = ["metric", "grp", "day"]
+    tasks = rows.rdd.getNumPartitions()
+    if tasks > together:
+        some = [*keys, "__s"]
+        first = rows.withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(int(tasks**0.5))))
+        rows = first.repartition(*some).sortWithinPartitions(*some).select("metric", "grp", "day", "n", "sketch", "__s").mapInArrow(_merge, _PARTIAL)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge, _PARTIAL)
 
 
@@ -263,3 +277,34 @@ def percentiles(reads: DataFrame, summaries: DataFrame, faidx: DataFrame) -> Dat
     by_day = daily.filter("metric <> 'length'").mapInArrow(_answers, out).withColumn("span", F.lit("day"))
     over = merge_sketches(daily, over_days=True).mapInArrow(_answers, out).withColumn("span", F.lit("all"))
     return by_day.unionByName(over).select("metric", "grp", "day", "span", "n", "p50", "p90", "p99")
+
+
+def _values(reads: DataFrame, summaries: DataFrame, faidx: DataFrame) -> DataFrame:
+    """(metric, grp, day, x, n): every value of the three columns with its number of rows, counted exactly."""
+    letters = F.filter(F.split("quality", ""), lambda c: c != "")
+    one = reads.select(F.lit("phred").alias("metric"), F.col("run").alias("grp"), F.to_date("sequenced_at").alias("day"), F.explode(letters).alias("c"))
+    phred = one.groupBy("metric", "grp", "day", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.greatest(F.ascii("c") - 33, F.lit(0)).cast("double")).drop("c")
+    avg = summaries.select(F.lit("avg_len").alias("metric"), F.col("platform").alias("grp"), F.to_date("summarised_at").alias("day"), F.col("avg_len").cast("double").alias("x"))
+    size = faidx.select(F.lit("length").alias("metric"), F.col("file_name").alias("grp"), F.lit(None).cast("date").alias("day"), F.col("length").cast("double").alias("x"))
+    rest = avg.unionByName(size).filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("metric", "grp", "day", "x").agg(F.count(F.lit(1)).alias("n"))
+    return phred.unionByName(rest)
+
+
+def rank_errors(reads: DataFrame, summaries: DataFrame, faidx: DataFrame) -> DataFrame:
+    """Exact ranks of the percentiles that ``percentiles`` reports: (metric, grp, day, span, n, within).
+
+    ``n`` is the exact number of values; ``within`` says that each of the three percentiles has a rank, between the share of values
+    below it and the share up to it, that is at most 1 % from what was asked for. A check: it counts all values.
+    """
+    values = materialised(_values(reads, summaries, faidx), "p5-values")
+    got = percentiles(reads, summaries, faidx).withColumnsRenamed({"n": "__n", "grp": "__grp", "day": "__day", "metric": "__metric"})
+    on = F.col("grp").eqNullSafe(F.col("__grp")) & (F.col("metric") == F.col("__metric")) & ((F.col("span") == "all") | F.col("day").eqNullSafe(F.col("__day")))
+    both = values.join(got, on)
+    aggs = [F.sum("n").alias("n"), F.max("__n").alias("__n")]
+    for p in ("p50", "p90", "p99"):
+        aggs += [F.coalesce(F.sum(F.when(F.col("x") < F.col(p), F.col("n"))), F.lit(0)).alias(f"{p}_lo"), F.coalesce(F.sum(F.when(F.col("x") <= F.col(p), F.col("n"))), F.lit(0)).alias(f"{p}_hi")]
+    ranks = both.groupBy("__metric", "__grp", "__day", "span").agg(*aggs)
+    ok = F.col("n") == F.col("__n")
+    for p, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
+        ok = ok & (F.col(f"{p}_lo") / F.col("n") <= q + 0.01) & (F.col(f"{p}_hi") / F.col("n") >= q - 0.01)
+    return ranks.select(F.col("__metric").alias("metric"), F.col("__grp").alias("grp"), F.col("__day").alias("day"), "span", F.col("n").cast("bigint").alias("n"), ok.alias("within"))

@@ -14,6 +14,10 @@ def _hexed(df):
     return df.withColumn("data_hex", F.hex("data")).drop("data")
 
 
+def _bounds(one):
+    return one.select("cases", (F.col("recall") >= 0.9).alias("recalled"), (F.col("precision") >= 0.9).alias("precise"))
+
+
 QUERIES = {
     "p1_found": lambda spark, d: seen.seen_before(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_first_sightings": lambda spark, d: seen.first_sightings(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
@@ -29,15 +33,20 @@ QUERIES = {
     "p4_error": lambda spark, d: distinct.coverage_error(table(spark, d, "kmer_coverage")),
     "p4_stream_error": lambda spark, d: distinct.stream_error(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p5_percentiles": lambda spark, d: percentiles.percentiles(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
+    "p5_rank_error": lambda spark, d: percentiles.rank_errors(table(spark, d, "reads"), table(spark, d, "fq_summaries"), table(spark, d, "faidx")),
     "p6_found": lambda spark, d: _hexed(frequent.frequent_exact(table(spark, d, "kmer_stream"), KMER).drop("n_rows")),
+    "p6_intervals": lambda spark, d: _hexed(frequent.intervals(table(spark, d, "kmer_stream"), KMER)),
     "p6_frequent": lambda spark, d: _hexed(frequent.frequent(table(spark, d, "kmer_stream"), KMER)),
     "p7_found": lambda spark, d: neardup.found({t: spread(table(spark, d, t)) for t in ("reads", "sequences")}),
     "p7_groups": lambda spark, d: neardup.groups({t: spread(table(spark, d, t)) for t in ("reads", "sequences")}),
     "p8_ids": lambda spark, d: encode.encode_column(spread(table(spark, d, "documents"))),
     "p9_fill": lambda spark, d: packing.fill_documents(spread(table(spark, d, "documents"))),
+    "p9_packing": lambda spark, d: packing.checked(spread(table(spark, d, "documents"))),
     "p9_usage": lambda spark, d: packing.usage(packing.fill_documents(spread(table(spark, d, "documents")))),
     "p10_found": lambda spark, d: repetition.found(spread(table(spark, d, "documents"))),
     "p10_repeated": lambda spark, d: repetition.repeated(spread(table(spark, d, "documents"))),
+    "p10_fertility_recall": lambda spark, d: repetition.fertility_recall(spread(table(spark, d, "documents"))),
+    "p10_fertility_bounds": lambda spark, d: _bounds(repetition.fertility_recall(spread(table(spark, d, "documents")))),
     "p10_fertility": lambda spark, d: repetition.fertility(spread(table(spark, d, "documents"))),
 }
 
@@ -74,6 +83,7 @@ ORACLE = {
     "p3_found": f"with w as ({_WINDOWS}) select distinct a.id as id_a, b.id as id_b from w a join w b on a.w = b.w and a.id < b.id",
     "p7_found": f"{_similar('reads')} union all {_similar('sequences')}",
     "p10_found": f"{_REPEATED} select doc_id from res where n >= 100 and repeated * 10 >= n * 3",
+    "p10_fertility_bounds": f"{_REPEATED} select count(*) as cases, true as recalled, true as precise from res where n >= 100 and repeated * 10 >= n * 3",
     "p10_repeated": f"{_REPEATED} select doc_id, n, repeated, cast(repeated as double) / greatest(n, 1) as share from res",
     "p1_found": f"select obs_id from ({_SEEN}) where seen",
     "p1_first_sightings": f"select ref_name, count(*) as first_n from ({_SEEN}) where not seen group by ref_name",
@@ -91,6 +101,19 @@ ORACLE = {
         select cast(arrived_at as date) as day, sample, ref_name, count(distinct case when s.data is not null then (s.k, s.data) end) as exact_ref,
                count(distinct case when w.k is not null then (s.k, s.data) end) as exact_query, true as within
         from kmer_stream s left join known_kmers w on w.k = s.k and w.data = s.data group by 1, 2, 3""",
+    "p5_rank_error": """
+        with ph as (select 'phred' as metric, run as grp, cast(sequenced_at as date) as day, cast(sum(length(quality)) as bigint) as n from reads where quality <> '' group by 2, 3),
+        av as (select 'avg_len' as metric, platform as grp, cast(summarised_at as date) as day, count(*) as n from fq_summaries where avg_len is not null and not isnan(avg_len) group by 2, 3),
+        daily as (select * from ph union all select * from av)
+        select metric, grp, day, 'day' as span, n, true as within from daily
+        union all select metric, grp, null, 'all', cast(sum(n) as bigint), true from daily group by metric, grp
+        union all select 'length', file_name, null, 'all', count(*), true from faidx where length is not null group by file_name""",
+    "p6_intervals": """
+        select k, hex(data) as data_hex, count(*) as n_rows, true as inside from kmer_stream where data is not null group by k, data
+        having count(*) * 400 >= (select count(*) from kmer_stream)""",
+    "p9_packing": """
+        select count(*) as n_documents, cast(0 as bigint) as wrong_documents, cast(0 as bigint) as overfull, true as dense
+        from documents where coalesce(text, '') <> ''""",
     "p6_found": """
         select k, hex(data) as data_hex from kmer_stream where data is not null group by k, data
         having count(*) * 400 >= (select count(*) from kmer_stream)""",

@@ -172,3 +172,27 @@ def test_fertility(spark):
     assert got[200].rejected and got[200].byte_share > 0.3
     assert got[203].rejected and got[203].entropy < 1.5
     assert sum(r.rejected for r in got.values()) < 20
+    assert {i for i, r in got.items() if r.repetitive} == {200, 203}
+    assert repetition.fertility(frame(spark, [])).count() == 0
+
+
+def test_phrase_gap_and_scripts():
+    import sentencepiece
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    clean = " ".join(word() for _ in range(200))
+    part = " ".join(word() for _ in range(100))
+    texts = [clean, part + " " + part, "", "a b", clean + " " + clean[: len(clean) // 4]]
+    model = sentencepiece.SentencePieceProcessor(model_file=repetition.PIECES)
+    is_byte = np.zeros(model.get_piece_size(), bool)
+    got = repetition.measures(texts, encode.encoder(encode.VOCABULARY), model, is_byte)["phrase_gap"]
+    assert got[0] < 1e-9 and abs(got[1] - 1) < 0.05 and np.isnan(got[2]) and got[3] < 1e-9 and 0.3 < got[4] < 0.5
+    assert repetition.scripts(["abc", "Привет", "漢字かな漢", "", "12 3", "مرحبا", "नमस्ते", "a漢"]) == ["latin", "cyrillic", "han", "other", "other", "arabic", "devanagari", "latin"]
+
+
+def test_fertility_finds_repetition(spark):
+    """Recall and precision of the named method against the exact share, on the small tables' documents."""
+    r = repetition.fertility_recall(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).first()
+    assert r.cases >= 30 and r.recall >= 0.9 and r.precision >= 0.9
+    assert r.cases == repetition.found(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).count()
