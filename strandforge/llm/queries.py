@@ -25,9 +25,10 @@ QUERIES = {
     "p1_new_by_day": lambda spark, d: seen.new_keys_by_day(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p1_error_bounds": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")).select("p_bits", "new_keys", "as_derived"),
     "p1_error_rates": lambda spark, d: seen.error_rates(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
-    "p3_found": lambda spark, d: spans.pairs(table(spark, d, "sequences")),
-    "p3_shared": lambda spark, d: spans.shared(table(spark, d, "sequences")),
-    "p3_repeats": lambda spark, d: spans.repeats(spans.matches(table(spark, d, "sequences"))),
+    "p3_found": lambda spark, d: spans.pairs(spread(table(spark, d, "sequences"))),
+    "p3_shared": lambda spark, d: spans.shared(spread(table(spark, d, "sequences"))),
+    "p3_members": lambda spark, d: spans.members(spread(table(spark, d, "sequences"))),
+    "p3_repeats": lambda spark, d: spans.repeats(spans.matches(spread(table(spark, d, "sequences")))),
     "p4_coverage_distinct": lambda spark, d: distinct.coverage_distinct(table(spark, d, "kmer_coverage")),
     "p4_stream_distinct": lambda spark, d: distinct.stream_distinct(table(spark, d, "kmer_stream"), table(spark, d, "known_kmers")),
     "p4_error": lambda spark, d: distinct.coverage_error(table(spark, d, "kmer_coverage")),
@@ -81,7 +82,25 @@ _REPEATED = """
 
 ORACLE = {
     "p3_found": f"with w as ({_WINDOWS}) select distinct a.id as id_a, b.id as id_b from w a join w b on a.w = b.w and a.id < b.id",
+    "p3_members": "select id, min(id) over (partition by translate(sequence, 'acgt', 'ACGT')) as rep from sequences",
+    "p3_shared": f"""
+        with r as (select id, sequence, unnest(range(1, length(sequence) - 118)) as i from sequences),
+        w as (select id, i, upper(substr(sequence, i, 120)) as w from r where regexp_full_match(substr(sequence, i, 120), '[ACGTacgt]+')),
+        k as (select w from w group by w having count(distinct id) > 1),
+        m as (select id, i, lag(i) over (partition by id order by i) as before from w where w in (select w from k)),
+        t as (select id, sum(least(120, coalesce(i - before, 120))) as shared from m group by id)
+        select s.id, cast(length(s.sequence) as bigint) as n_bases, cast(coalesce(shared, 0) as bigint) as shared_bases,
+               case when s.sequence = '' then 0.0 else cast(coalesce(shared, 0) as double) / length(s.sequence) end as share
+        from sequences s left join t using (id)""",
     "p7_found": f"{_similar('reads')} union all {_similar('sequences')}",
+    "p7_groups": f"""
+        with recursive found as ({_similar('reads')} union all {_similar('sequences')}),
+        e as (select table_name as t, id_a as a, id_b as b from found union all select table_name, id_b, id_a from found),
+        r(t, id, root) as (select t, a, b from e union select r.t, r.id, e.b from r join e on e.t = r.t and e.a = r.root),
+        m as (select t, id, least(id, min(root)) as group_id from r group by t, id), n as (select t, a as id, count(*) as n from e group by t, a),
+        every as (select 'reads' as t, id from reads union all select 'sequences', id from sequences)
+        select every.t as table_name, every.id, coalesce(m.group_id, every.id) as group_id, coalesce(n.n, 0) as n_links
+        from every left join m on m.t = every.t and m.id = every.id left join n on n.t = every.t and n.id = every.id""",
     "p10_found": f"{_REPEATED} select doc_id from res where n >= 100 and repeated * 10 >= n * 3",
     "p10_fertility_bounds": f"{_REPEATED} select count(*) as cases, true as recalled, true as precise from res where n >= 100 and repeated * 10 >= n * 3",
     "p10_repeated": f"{_REPEATED} select doc_id, n, repeated, cast(repeated as double) / greatest(n, 1) as share from res",

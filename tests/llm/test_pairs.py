@@ -77,6 +77,19 @@ def test_groups(spark):
     assert {r.id: (r.group_id, r.n_links) for r in rows} == {i: (find(i), links.get(i, 0)) for i in ids}
 
 
+def test_copies_give_no_candidates(spark):
+    """n copies are one class: no band is shared, no pair is verified; only p7_found expands them."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(300))
+    for n in (10, 40):
+        tables = {"reads": frame(spark, [(i, text) for i in range(n)]), "sequences": frame(spark, [])}
+        records = neardup._records(tables)
+        copies = neardup._valid_copies(records, neardup.classes(records))
+        assert copies.count() == n and neardup.similar_pairs(records, copies).count() == 0
+        assert neardup.found(tables).count() == n * (n - 1) // 2
+        assert {(r.group_id, r.n_links) for r in neardup.groups(tables).collect()} == {(0, n - 1)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 100), (7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
@@ -152,3 +165,33 @@ def test_no_sequences(spark):
     only = frame(spark, [(1, None), (2, "")])
     assert [(r.n_bases, r.share) for r in spans.shared(only).collect()] == [(0, 0.0), (0, 0.0)]
     assert spans.pairs(only.withColumn("sequence", F.lit(None).cast("string"))).count() == 0
+
+
+@pytest.mark.parametrize("hot", [512, 4])
+def test_copies_and_common_regions_cost_little(spark, hot):
+    """n copies give no match rows at all, n records with a common region one row a pair, whatever its length, and only for pairs."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    text, region = word(600), word(600)
+    for n in (10, 20):
+        copies = frame(spark, [(i, text) for i in range(n)])
+        assert spans.matches(copies, 120, hot).count() == 0
+        assert spans.pairs(copies, 120, hot).count() == n * (n - 1) // 2
+        assert {(r.n_bases, r.shared_bases) for r in spans.shared(copies, 120, hot).collect()} == {(600, 600)}
+        common = frame(spark, [(i, word(150) + region + word(150)) for i in range(n)])
+        rows = spans._rows(common)
+        few, crowded = spans._fragments(rows, spans._classes(rows), 120, hot)
+        begins = few.mapInArrow(spans._by_anchor(lambda t: spans._compare(t, 120, True)), spans._MATCH).count()
+        assert (crowded is None) == (hot >= n)
+        if crowded is not None:
+            cells, kept = spans._shared_cells(crowded, 120)
+            # windows where a repeat can begin: the region's first one only (and its neighbours by chance)
+            assert kept.filter("begins").count() <= 2 * n and cells.count() <= n * 600
+        assert begins <= n * (n - 1) // 2
+        assert spans.pairs(common, 120, hot).count() == n * (n - 1) // 2
+        assert all(600 <= r.shared_bases <= 616 for r in spans.shared(common, 120, hot).collect())
+
+
+def test_members(spark):
+    df = frame(spark, [(3, "acgt"), (1, "ACGT"), (2, "ACGA"), (5, None), (4, None), (None, "ACGT"), (1, "ACGT")])
+    assert sorted(tuple(r) for r in spans.members(df).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
