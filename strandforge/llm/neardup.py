@@ -133,11 +133,21 @@ def classes(records: DataFrame) -> DataFrame:
     return records.select("tbl", "id", "h1", "h2").join(groups, ["tbl", "h1", "h2"]).select("tbl", "id", "rep").distinct()
 
 
+#: Band rows that one task sorts: some 10 MB.
+TASK_ROWS = 750_000
+
+
+def band_tasks(records: DataFrame) -> int:
+    """Tasks for the band rows: BINS / ROWS rows a record, TASK_ROWS a task, and at least those of any shuffle."""
+    least = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-records.count() * (BINS // ROWS) // TASK_ROWS))
+
+
 def similar_pairs(records: DataFrame, copies: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b, similarity) of all similar pairs of representatives, id_a < id_b."""
     extra = copies.filter("id <> rep").select("tbl", "id")
     reps = records.select("tbl", "id", "seq").join(extra, ["tbl", "id"], "left_anti")
-    bands = reps.mapInArrow(_band_rows, "key bigint, id bigint")
+    bands = reps.mapInArrow(_band_rows, "key bigint, id bigint").repartition(band_tasks(records), "key")
     near = Window.partitionBy("key").orderBy("id")
     shared = bands.withColumn("n", F.coalesce(F.lag("id").over(near), F.lead("id").over(near))).filter(F.col("n").isNotNull()).drop("n")
     shared = materialised(shared, "p7-bands")
