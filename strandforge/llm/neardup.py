@@ -43,18 +43,28 @@ _EMPTY = np.uint64(2**64 - 1)
 
 def sketches(element: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
     """An (n, bins) array of the sets given by (owner, element) rows; rows of empty sets stay at the largest value."""
-    out = np.full(n * bins, _EMPTY)
+    out = np.full((n, bins), _EMPTY)
+    # the sets with open bins, renumbered when a quarter of them is full; empty sets never take part
+    rows = np.flatnonzero(np.bincount(owner, minlength=n))
+    number = np.zeros(n, np.int64)
+    number[rows] = np.arange(len(rows))
+    owner, part = number[owner], np.full((len(rows), bins), _EMPTY)
     for i in range(2 * bins):
         h = dna.mixed(element, i)
-        place = (h >> np.uint64(32)) % np.uint64(bins) if i < bins else np.full(len(h), i - bins, np.uint64)
+        # a number below bins from the upper half of the hash
+        place = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32) if i < bins else np.full(len(h), i - bins, np.uint64)
         value = (np.uint64(i) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-        np.minimum.at(out, owner * bins + place.astype(np.int64), value)
-        open_ = (out.reshape(n, bins) == _EMPTY).any(axis=1)
-        left = open_[owner]
-        if not left.any():
+        np.minimum.at(part.reshape(-1), owner * bins + place.astype(np.int64), value)
+        open_ = (part == _EMPTY).any(axis=1)
+        if not open_.any():
             break
-        element, owner = element[left], owner[left]
-    return out.reshape(n, bins)
+        if open_.mean() < 0.75:
+            out[rows[~open_]] = part[~open_]
+            number = np.cumsum(open_) - 1
+            left = open_[owner]
+            element, owner, rows, part = element[left], number[owner[left]], rows[open_], part[open_]
+    out[rows] = part
+    return out
 
 
 def band_keys(texts: list[str], seed: np.ndarray, bins: int = BINS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
