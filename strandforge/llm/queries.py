@@ -15,7 +15,8 @@ def _hexed(df):
 
 
 def _bounds(one):
-    return one.select("cases", (F.col("recall") >= 0.9).alias("recalled"), (F.col("precision") >= 0.9).alias("precise"))
+    # nine tenths, but for two documents, which is more than that in the smallest tables
+    return one.select("cases", *[(F.col("hits") + 2 >= F.col(c) * 0.9).alias(n) for c, n in (("cases", "recalled"), ("said", "precise"))])
 
 
 QUERIES = {
