@@ -134,3 +134,31 @@ def test_tables_as_folders(spark, tmp_path):
 
     assert cli.main(["dump-kmc", "-p", str(tmp_path / "db"), "-o", str(tmp_path / "dump"), "--parts"], spark) == 0
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "dump")).collect()) == ["ACGTACG\t3", "ACGTTTT\t1"]
+
+
+@pytest.mark.parametrize("k", [1, 5, 31, 32])
+def test_codes_and_texts_give_the_same(spark, k):
+    text = "ACGTNACGGTACCATGCANNACGTACGTTGACCATTGACGATACCATTTACGACCAGGACTTACCGATTTACCA"
+    df = spark.createDataFrame([(1, "x", text), (2, "y", text.lower() * 2), (3, "z", None)], "id bigint, name string, sequence string")
+    want = {}
+    for i, t in ((1, text), (2, text * 2)):
+        for j in range(len(t) - k + 1):
+            if "N" not in t[j : j + k]:
+                want.setdefault(t[j : j + k], []).append(i)
+    for size in (1 << 16, 40):
+        assert {r.kmer: r["count"] for r in kmers.counts(df, k, size=size).collect()} == {w: len(x) for w, x in want.items()}
+    # database entries of another length or with other letters meet nothing
+    db = spark.createDataFrame([*[(w, 2) for w in want], ("A" * (k + 1), 9), ("C" + "A" * k, 9), ("N" * k, 9)], "kmer string, count bigint")
+    for size in (1 << 16, 40, 100):
+        got = {r.id: (r.ref_unique_n, r.query_uniq_n, r.query_total_n) for r in kmers.coverage(df, db, k, size=size).collect()}
+        for i in (1, 2):
+            own = [x.count(i) for x in want.values() if i in x]
+            assert got[i] == (len(own), len(own), 2 * sum(own))
+        assert got[3] == (0, 0, 0)
+    folded = {r.kmer: r["count"] for r in kmers.counts(df, k, canonical=True).collect()}
+    comp = str.maketrans("ACGT", "TGCA")
+    both = {}
+    for w, x in want.items():
+        c = min(w, w.translate(comp)[::-1])
+        both[c] = both.get(c, 0) + len(x)
+    assert folded == both
