@@ -48,7 +48,7 @@ def test_small_sets_are_counted(spark):
     for r in distinct.estimate(distinct.sketch(big, {"g": F.col("g")}, ["id"]), ["g"], "n").collect():
         assert r.n_low <= 20_000 <= r.n_high and r.n_low < r.n < r.n_high
     rows = distinct.sketch(big, {"g": F.col("g")}, ["id"]).count()
-    assert rows < 3 * 256 * 15
+    assert rows < 3 * 512 * 15
 
 
 def test_stream_distinct(spark):
