@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandforge.functions import seq as S
+from strandforge.session import materialised
 
 #: Ids a block. What crosses borders is one row a block, so blocks may be small.
 BLOCK = 50_000
@@ -76,11 +77,13 @@ def mates(alignments: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFr
     inside = Window.partitionBy(*keys).orderBy("id")
     rows = prim.withColumns({"n": F.row_number().over(inside), "before": F.lag("r").over(inside)})
 
-    ends = _carry(prim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max_by("r", "id").alias("last")), own, wide)
+    # one row a block, written once, as both levels read it
+    blocks = materialised(prim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max_by("r", "id").alias("last")), "mates-blocks")
+    ends = _carry(blocks, own, wide)
     rows = rows.join(ends, keys).select(*keys, "id", "r", F.coalesce("before", "carried").alias("p"), (F.col("offset") + F.col("n")).alias("pid"))
     rows = rows.withColumn("start", F.when(F.coalesce(F.col("p.name") == F.col("r.name"), F.lit(False)), None).otherwise(F.col("pid")))
 
-    starts = _run_before(rows.groupBy(*keys).agg(F.max("start").alias("s")), own, wide)
+    starts = _run_before(materialised(rows.groupBy(*keys).agg(F.max("start").alias("s")), "mates-runs"), own, wide)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(starts, keys).withColumn("run", F.coalesce(F.max("start").over(upto), "run_before"))
     return rows.filter((F.col("pid") - F.col("run")) % 2 == 1).select(F.col("id").alias("pair_id"), F.col("p").alias("m1"), F.col("r").alias("m2"))
