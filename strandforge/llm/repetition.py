@@ -1,8 +1,7 @@
 """Repetition inside a single document (problem 10).
 
 Two measures. ``fertility`` is the method named for the problem: characters per token, byte-fallback share and token entropy by public
-vocabularies, the last also over phrases of 8 tokens, with rejection bands per script that are fitted on a bounded sample of clean
-texts. It has no positions and can't tell *which* characters repeat, so ``repeated``, which gives the share of a text's
+vocabularies, the last also over phrases of 8 tokens, with rejection bands per script that are fitted on all clean texts. It has no positions and can't tell *which* characters repeat, so ``repeated``, which gives the share of a text's
 characters that repeat earlier content, is computed from the windows of 32 code points themselves.
 
 Windows: a text's code points are hashed for all windows of 32 at once by doubling (2, 4, ..., 32), for all texts of a batch
@@ -15,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandforge.llm import encode
+from strandforge.session import materialised
 
 WINDOW = 32
 #: Code points hashed at once; a longer text is hashed alone.
@@ -143,10 +143,10 @@ def found(documents: DataFrame, least_n: int = 100, least_share: float = 0.30) -
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Tokens a phrase.
 PHRASE = 8
-#: Texts, about, that the bands are fitted on, whatever the collection's size; they are chosen by a hash of doc_id.
-SAMPLE = 20_000
-#: A sampled text is clean if less than this share of it repeats.
+#: A text is clean if less than this share of it repeats.
 CLEAN = 0.05
+#: How far beside a band's end, as a share of the values, the edges lie between which it is sought; any choice gives the same end.
+NEAR = 0.002
 #: Phrases that occur twice in ``s`` of a text lower the entropy of its phrases by 2 s bits.
 LEAST_GAP = 0.6
 
@@ -239,30 +239,54 @@ def token_measures(documents: DataFrame, path: str = encode.VOCABULARY, pieces:
     return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
 
 
-def bands(documents: DataFrame, tail: float = 0.005, sample: int = SAMPLE, path: str = encode.VOCABULARY, pieces: str = PIECES) -> DataFrame:
+def _ends(values: DataFrame, tail: float) -> DataFrame:
+    """(__script, measure, x) -> (__script, measure, end, x): the ``tail`` and the 1 - ``tail`` quantile of each group, as ends ``low`` and ``high``.
+
+    The q quantile is the smallest value whose share of values up to it is at least q; nulls are left out. It is exact: approximate edges
+    beside the ends cut the values into classes, exact counts of the classes tell the one that holds an end, and the different
+    values of that class alone are ordered.
+    """
+    keys = ["__script", "measure"]
+    values = values.filter(F.col("x").isNotNull())
+    near = [F.lit(min(1.0, max(0.0, q + d))) for q in (tail, 1 - tail) for d in (-NEAR, NEAR)]
+    # written, as the classes are computed twice and an approximate edge need not come out the same again
+    edges = materialised(values.groupBy(*keys).agg(F.percentile_approx("x", F.array(*near), F.lit(1_000)).alias("edges")), "p10-edges")  # a row a script and measure
+    placed = values.join(F.broadcast(edges), keys).select(*keys, "x", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("class"))
+    group = Window.partitionBy(*keys)
+    counts = placed.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("total", F.sum("n").over(group)).withColumn("before", F.sum("n").over(group.orderBy("class")) - F.col("n"))
+    ranks = [F.struct(F.lit(e).alias("end"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))).alias("rank")) for e, q in (("low", tail), ("high", 1 - tail))]
+    ends = counts.select(*keys, "class", "n", "before", F.inline(F.array(*ranks)))
+    ends = ends.filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
+    held = placed.join(F.broadcast(ends.select(*keys, "class", "end", (F.col("rank") - F.col("before")).alias("place"))), [*keys, "class"])
+    held = held.groupBy(*keys, "end", "place", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = held.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "end").orderBy("x")))
+    return upto.filter(F.col("upto") >= F.col("place")).groupBy(*keys, "end").agg(F.min("x").alias("x"))
+
+
+def bands(measured: DataFrame, tail: float = 0.005) -> DataFrame:
     """(__script, __chars_per_token, __byte_share, __entropy, __phrase_gap): the band of each script as (low, high), a row a script.
 
-    Fitted on the clean ones of about ``sample`` texts of at least 100 characters, chosen by a hash of doc_id, from the
-    ``tail`` to the 1 - ``tail`` quantile. The upper end of the phrase gap is at least LEAST_GAP.
+    ``measured`` are rows of ``token_measures`` with shares, which are read several times. Fitted on all clean ones of at least 100
+    characters, from the ``tail`` to the 1 - ``tail`` quantile, exactly. The upper end of the phrase gap is at least LEAST_GAP.
     """
-    total = documents.count()
-    cut = min(1.0, sample / max(1, total))
-    some = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20)) + 1)
-    clean = token_measures(some, path, pieces, shares=True).filter((F.col("share") < CLEAN) & (F.col("chars") >= 100))
-    ends = F.array(F.lit(tail), F.lit(1 - tail))
-    got = clean.groupBy(F.col("script").alias("__script")).agg(*[F.percentile_approx(c, ends, F.lit(10_000)).alias(f"__{c}") for c in _MEASURES])
+    clean = measured.filter((F.col("share") < CLEAN) & (F.col("chars") >= 100)).withColumnRenamed("script", "__script")
+    ends = _ends(clean.unpivot(["__script"], list(_MEASURES), "measure", "x"), tail)
+    one = lambda c, e: F.min(F.when((F.col("measure") == c) & (F.col("end") == e), F.col("x")))
+    got = ends.groupBy("__script").agg(*[F.array(one(c, "low"), one(c, "high")).alias(f"__{c}") for c in _MEASURES])
     return got.withColumn("__phrase_gap", F.array(F.lit(0.0), F.greatest(F.col("__phrase_gap")[1], F.lit(LEAST_GAP))))
 
 
-def fertility(documents: DataFrame, tail: float = 0.005, sample: int = SAMPLE, path: str = encode.VOCABULARY, pieces: str = PIECES) -> DataFrame:
+def fertility(documents: DataFrame, tail: float = 0.005, path: str = encode.VOCABULARY, pieces: str = PIECES) -> DataFrame:
     """Token measures of each text with ``repetitive``, its phrase gap being above its script's band, and ``rejected``: outside the band in
     any measure.
 
     Characters per token and entropy have a band with two ends, the byte share and the phrase gap an upper end only. Texts without
-    tokens are rejected, not repetitive. Texts of a script that no clean text of the sample has are held against LEAST_GAP alone.
+    tokens are rejected, not repetitive. Texts of a script that no clean text has are held against LEAST_GAP alone. The measures
+    are computed once and written, for the bands and the result.
     """
-    rows = token_measures(documents, path, pieces)
-    joined = rows.join(F.broadcast(bands(documents, tail, sample, path, pieces)), F.col("script") == F.col("__script"), "left")  # a row a script
+    rows = materialised(token_measures(documents, path, pieces, shares=True), "p10-measures")
+    joined = rows.join(F.broadcast(bands(rows, tail)), F.col("script") == F.col("__script"), "left")  # a row a script
     low = (F.col("chars_per_token") < F.col("__chars_per_token")[0]) | (F.col("entropy") < F.col("__entropy")[0])
     repetitive = F.col("phrase_gap") > F.coalesce(F.col("__phrase_gap")[1], F.lit(LEAST_GAP))
     high = F.lit(False)

@@ -1,4 +1,5 @@
 import bisect
+import math
 import random
 import re
 from collections import Counter
@@ -196,3 +197,32 @@ def test_fertility_finds_repetition(spark):
     r = repetition.fertility_recall(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).first()
     assert r.cases >= 30 and r.recall >= 0.9 and r.precision >= 0.9
     assert r.cases == repetition.found(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).count()
+
+def test_bands_of_more_texts_than_a_sample(spark):
+    """With many more texts than 20,000 every clean one counts for its script's band."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=24)) for _ in range(30_000)] + ["".join(rng.choices("αβγδεζηθικλμνξοπρστυφχψω ", k=120)) for _ in range(3)]
+    got = {r.doc_id: r for r in repetition.fertility(frame(spark, list(enumerate(texts)))).collect()}
+    n, again = repetition.repeated_counts(texts)
+    assert len(got) == len(texts) and {got[i].script for i in range(30_000)} == {"latin"} and got[30_000].script == "greek"
+    odd = set()
+    for part in (range(30_000), range(30_000, 30_003)):
+        clean = [i for i in part if again[i] < 0.05 * n[i] and len(texts[i]) >= 100]
+        for c in ("chars_per_token", "byte_share", "entropy", "phrase_gap"):
+            x = np.sort([got[i][c] for i in clean])
+            low, high = (x[max(1, math.ceil(q * len(x))) - 1] for q in (0.005, 1 - 0.005))
+            low, high = {"byte_share": (0, high), "phrase_gap": (0, max(high, repetition.LEAST_GAP))}.get(c, (low, high))
+            odd |= {i for i in part if not low <= got[i][c] <= high}
+    assert {i for i, r in got.items() if r.rejected} == odd
+
+
+@pytest.mark.parametrize("tail", [0.005, 0.1, 0.5])
+def test_band_ends_are_exact(spark, tail):
+    rng = np.random.default_rng(2)
+    # one value that nearly all have, few different values, all different, two values, one value; nulls count for nothing
+    groups = {"a": np.append(np.zeros(9000), rng.random(40)), "b": rng.integers(0, 7, 5000) / 7, "c": rng.random(7001), "d": np.array([2.0, 1.0]), "e": np.array([3.0])}
+    rows = [(s, m, float(x) if m == "m" else None) for s, xs in groups.items() for x in xs for m in ("m", "none")]
+    got = {(r["__script"], r.measure, r.end): r.x for r in repetition._ends(spark.createDataFrame(rows, "__script string, measure string, x double"), tail).collect()}
+    want = {(s, "m", e): np.sort(xs)[max(1, math.ceil(q * len(xs))) - 1] for s, xs in groups.items() for e, q in (("low", tail), ("high", 1 - tail))}
+    assert got == want
